@@ -144,10 +144,9 @@ def exits(sized: DataFrame) -> DataFrame:
     cost = F.try_divide(lit(2) * F.col("commission_per_contract"), F.col("premium") * 100)
     x = sized.withColumns({"_net": ret - F.when(priced, cost).otherwise(lit(0)), "mae": worst})
     stop, take = F.col("stop"), _p("profit_threshold")
-    stopped = (F.col("mae") <= -stop) | ((F.col("_net") <= -stop) & (F.col("_net") < take))
     reason = (
         F.when(F.col("mae") <= -stop, "stop_hit").when(F.col("_net") >= take, "profit_hit")
-        .when(stopped, "stop_hit").otherwise("hold_to_horizon")
+        .when(F.col("_net") <= -stop, "stop_hit").otherwise("hold_to_horizon")
     )
     x = x.withColumn("exit_reason", reason)
     gross = (

@@ -30,6 +30,8 @@ def contract_grid(bars: DataFrame, dtes: Sequence[int] = (7, 15, 30, 45, 60), mu
     Strikes are rounded to the step of the price level (5 above 200, 2.5 above 50, else 1).
     """
     multiples = multiples or MULTIPLES
+    # a bar becomes dozens of contracts, so the bars are dealt out before they are unfolded
+    bars = bars.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker", "bar_date")
     choices = F.array(
         *[F.struct(F.lit(t).alias("option_type"), lit(m).alias("mult")) for t, ms in multiples.items() for m in ms]
     )

@@ -34,7 +34,7 @@ def fits_broadcast(df: DataFrame) -> bool:
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower()
     limit_bytes = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)) \
         if not limit.lstrip("-").isdigit() else int(limit)
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return 0 <= size <= limit_bytes
 
 

@@ -62,10 +62,9 @@ def expected_move(chain: DataFrame, bars: DataFrame, order: Sequence[str] = ("bi
     The strike is the call strike nearest to the latest close (the lower one on a tie); a
     missing leg or quote gives 0. ``order`` decides between several quotes of one contract.
     """
-    quote = F.min_by(F.struct("bid", "ask"), F.struct(*order)).alias("quote")
-    contracts = chain.groupBy(*SNAPSHOT, *QUOTE).agg(quote)
-    front = contracts.groupBy(*SNAPSHOT).agg(F.min("expiration").alias("expiration"))
-    near = contracts.join(front, [*SNAPSHOT, "expiration"], "left_semi")
+    front = chain.groupBy(*SNAPSHOT).agg(F.min("expiration").alias("expiration"))
+    quotes = lookup(chain, front, [*SNAPSHOT, "expiration"], QUOTE + list(order), "left_semi")
+    near = quotes.groupBy(*SNAPSHOT, *QUOTE).agg(F.min_by(F.struct("bid", "ask"), F.struct(*order)).alias("quote"))
     near = asof_price(near, bars.select("ticker", "bar_date", "close"), "snapshot_date", ("strike", "option_type"))
     call = F.col("option_type") == "Call"
     distance = F.struct(F.abs(F.col("strike") - F.col("spot")), F.col("strike"))

@@ -56,9 +56,10 @@ def expanding_quantiles(counts: DataFrame, n_folds, probs: Sequence[float] = QUA
     ``counts`` has cell, avail, y and c. Repeating every row for all its later folds would
     cost rows x folds / 2. Instead the values are put on a coarse grid: running counts per
     grid step tell in which step each quantile of each fold lies, and only the values of
-    those steps are counted per fold.
+    those steps are counted per fold. The all-rows cell is dense, so its grid is finer.
     """
-    h = counts.withColumn("b", F.floor(F.col("y") / lit(grid)).cast("bigint"))
+    width = F.when(F.col("cell") == EVERY, lit(grid / 5)).otherwise(lit(grid))
+    h = counts.withColumn("b", F.floor(F.col("y") / width).cast("bigint"))
     steps = h.groupBy("cell", "b", F.col("avail").alias("fold")).agg(F.sum("c").alias("c"))
     every_fold = F.explode(F.sequence(F.lit(0), n_folds - 1)).alias("fold")
     dense = steps.groupBy("cell", "b").agg(F.count(F.lit(1)).alias("_n")).select("cell", "b", every_fold)

@@ -28,21 +28,24 @@ def _ticker(key: Column) -> Column:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars per ticker. A print's price sits in the low digits of its order key, so
+    the first and last price are plain minima and maxima, which aggregate in place."""
     li = _read(spark, sf_dir, "lineitem")
-    cents = _cents("l_extendedprice")
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents, F.col("l_quantity").cast("bigint"))
+    tick = _cents("l_extendedprice") % 4000
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 4096 + tick
+
+    def price(t: Column) -> Column:
+        return F.lit(80.0) + t / F.lit(100.0)
+
     x = li.select(
-        _ticker(F.col("l_suppkey")).alias("ticker"),
-        F.to_date("l_shipdate").alias("bar_date"),
-        (F.lit(80.0) + (cents % 4000) / F.lit(100.0)).alias("px"),
-        "l_quantity",
-        order.alias("o"),
+        _ticker(F.col("l_suppkey")).alias("ticker"), F.to_date("l_shipdate").alias("bar_date"),
+        tick.alias("tick"), key.alias("key"), "l_quantity",
     )
     return x.groupBy("ticker", "bar_date").agg(
-        F.min_by("px", "o").alias("open"),
-        F.max("px").alias("high"),
-        F.min("px").alias("low"),
-        F.max_by("px", "o").alias("close"),
+        price(F.min("key") % 4096).alias("open"),
+        price(F.max("tick")).alias("high"),
+        price(F.min("tick")).alias("low"),
+        price(F.max("key") % 4096).alias("close"),
         F.sum("l_quantity").cast("bigint").alias("volume"),
     )
 

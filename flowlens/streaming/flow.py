@@ -25,10 +25,10 @@ class KeepFirst(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # rows of one key in one batch; they may come in any order
-        batch = pd.concat(list(rows)).sort_values(["_t", "_id"], kind="stable")
+        batch = pd.concat(list(rows)).sort_values(["instant", "order_id"], kind="stable")
         last = self.last.get()[0] if self.last.exists() else None
         keep, moved = [], False
-        for t in batch["_t"].tolist():
+        for t in batch["instant"].tolist():
             ok = last is None or t - last > self.gap
             keep.append(ok)
             if ok:
@@ -48,7 +48,7 @@ def dedup_stream(rows: DataFrame, keys: Sequence[str], ts: str = "ts", id: str =
     number per key; limit the files per trigger to bound the rows a key brings at once.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    x = rows.withColumns({"_t": F.unix_micros(F.col(ts).cast("timestamp")), "_id": F.col(id)})
+    x = rows.withColumns({"instant": F.unix_micros(F.col(ts).cast("timestamp")), "order_id": F.col(id)})
     gap = int(hours * 3_600_000_000)
     return x.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=KeepFirst(gap, rows.columns), outputStructType=rows.schema, outputMode="Append", timeMode="None"
