@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flowlens.functions import pricing as px
 from flowlens.functions.pricing import lit
 from flowlens.operators.joins import join_vix
-from flowlens.operators.vol import BY_DATE, garman_klass, trend_sma
+from flowlens.operators.vol import by_date, garman_klass, trend_sma
 
 MULTIPLES = {"Call": (0.95, 1.0, 1.05), "Put": (0.90, 0.95, 1.0)}
 
@@ -21,7 +21,7 @@ def priced_bars(bars: DataFrame, vix: DataFrame, ahead: int = 10) -> DataFrame:
     """
     x = join_vix(trend_sma(garman_klass(bars)), vix, "bar_date")
     future = F.collect_list(F.struct(F.col("close").alias("spot"), F.col("gk_vol").alias("vol")))
-    return x.withColumn("future", future.over(BY_DATE.rowsBetween(1, ahead)))
+    return x.withColumn("future", future.over(by_date().rowsBetween(1, ahead)))
 
 
 def contract_grid(bars: DataFrame, dtes: Sequence[int] = (7, 15, 30, 45, 60), multiples=None) -> DataFrame:

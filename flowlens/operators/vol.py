@@ -8,37 +8,43 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, WindowSpec, functions as F
 
 from flowlens.functions.pricing import lit
 from flowlens.functions.quotes import round_to
 from flowlens.operators.scale import lookup
 
-TICKER = W.partitionBy("ticker")
-BY_DATE = TICKER.orderBy("bar_date")
 ANNUAL = math.sqrt(252.0)
 
 
-def trailing(n: int):
-    return BY_DATE.rowsBetween(1 - n, 0)
+def by_ticker() -> WindowSpec:
+    return W.partitionBy("ticker")
+
+
+def by_date() -> WindowSpec:
+    return by_ticker().orderBy("bar_date")
+
+
+def trailing(n: int) -> WindowSpec:
+    return by_date().rowsBetween(1 - n, 0)
 
 
 def last_days(bars: DataFrame, days: int = 365) -> DataFrame:
     """Bars at most ``days`` days older than the ticker's newest one."""
-    newest = F.max("bar_date").over(TICKER)
+    newest = F.max("bar_date").over(by_ticker())
     return bars.withColumn("_max", newest).where(F.col("bar_date") > F.date_sub("_max", days)).drop("_max")
 
 
 def _averages(bars: DataFrame) -> DataFrame:
     """Newest bar per ticker of the last year with its averages and the bar count."""
-    latest = F.row_number().over(TICKER.orderBy(F.desc("bar_date")))
+    latest = F.row_number().over(by_ticker().orderBy(F.desc("bar_date")))
     x = last_days(bars).select(
         "ticker",
         "bar_date",
         "close",
         F.avg("close").over(trailing(50)).alias("sma50"),
         F.avg("close").over(trailing(200)).alias("sma200"),
-        F.count("close").over(TICKER).alias("n"),
+        F.count("close").over(by_ticker()).alias("n"),
         latest.alias("_r"),
     )
     return x.where(F.col("_r") == 1).select(
@@ -74,7 +80,7 @@ def technicals(bars: DataFrame) -> DataFrame:
 
 
 def log_returns(bars: DataFrame) -> DataFrame:
-    before = F.lag("close").over(BY_DATE)
+    before = F.lag("close").over(by_date())
     return bars.withColumn("ret", F.log(F.try_divide(F.col("close"), before)))
 
 
@@ -159,7 +165,7 @@ def vix_regime(vix="vix"):
 
 def market_regime(bars_gk: DataFrame) -> DataFrame:
     """Direction over 200 bars and whether volatility rose over 20; NULL for the first 200."""
-    x = bars_gk.withColumns({"_c": F.lag("close", 200).over(BY_DATE), "_g": F.lag("gk_vol", 20).over(BY_DATE)})
+    x = bars_gk.withColumns({"_c": F.lag("close", 200).over(by_date()), "_g": F.lag("gk_vol", 20).over(by_date())})
     direction = F.when(F.col("close") > F.col("_c"), "trend_up").otherwise("trend_down")
     change = F.when(F.col("gk_vol") > F.col("_g"), "_vol_expansion").otherwise("_vol_contraction")
     return x.withColumn("market_regime", F.when(F.col("_c").isNotNull(), F.concat(direction, change))).drop("_c", "_g")

@@ -495,7 +495,10 @@ def entry_cost(s, d):
 
 
 def mark_path(s, d):
-    return paths.mark_path(contracts(s, d)).select(*CONTRACT, day("bar_date"), "day", "spot_now", r6("value"), r6("pnl"))
+    """All marked paths, summed up per bar, type and day ahead."""
+    x = paths.mark_path(contracts(s, d)).groupBy("ticker", "bar_date", "option_type", "day")
+    x = x.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("avg_value"), *[getattr(F, f)("pnl").alias(f"{f}_pnl") for f in ("min", "max", "avg")])
+    return x.select("ticker", day("bar_date"), "option_type", "day", "n", *[r6(c) for c in ("avg_value", "min_pnl", "max_pnl", "avg_pnl")])
 
 
 def path_outcome(s, d):
