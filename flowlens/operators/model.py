@@ -99,7 +99,8 @@ def binary_metrics(scored: DataFrame, threshold: float = 0.03, by: Sequence[str]
 def roc_auc(scored: DataFrame, threshold: float = 0.03, by: Sequence[str] = ()) -> DataFrame:
     """Rank-sum AUC of the median prediction, ties counted half; 0 when a class is empty."""
     hit = (F.col("observed_return") >= threshold).cast("bigint")
-    hist = scored.groupBy(*by, F.col("q")[2].alias("s")).agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
+    # nine decimals: noise of the interpolation must not break a tie
+    hist = scored.groupBy(*by, F.round(F.col("q")[2], 9).alias("s")).agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
     rt = running_totals(hist, by, "s", ["pos", "neg"])
     wins = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / lit(2)))
     u = rt.groupBy(*by).agg(wins.alias("u"), F.max("tot_pos").alias("p"), F.max("tot_neg").alias("m"))

@@ -82,7 +82,8 @@ def expected_move(chain: DataFrame, bars: DataFrame, order: Sequence[str] = ("bi
     )
     known = F.col("spot").isNotNull() & (F.col("spot") != 0)
     move = F.when(known, q.finite_or_zero(F.col("atm.straddle"))).otherwise(F.lit(0.0))
-    return atm.select(*SNAPSHOT, "spot", F.col("atm.strike").alias("atm_strike"), q.round_to(move, 2).alias("expected_move"))
+    strike = F.when(known, F.col("atm.strike")).alias("atm_strike")
+    return atm.select(*SNAPSHOT, "spot", strike, q.round_to(move, 2).alias("expected_move"))
 
 
 def atm_pairs(chain: DataFrame, order: Sequence[str] = ("bid", "ask")) -> DataFrame:

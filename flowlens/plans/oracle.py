@@ -1,4 +1,4 @@
-"""SQL counterparts of the registered queries, written for DuckDB on the same tables.
+"""SQL counterparts of the registered queries, for another engine on the same tables.
 
 They state each result in the most direct relational form (as-of joins, global windows,
 plain quantile aggregates) and share nothing with the Spark plans but the definitions.
@@ -8,6 +8,8 @@ query needs in front of it.
 
 from __future__ import annotations
 
+import re
+
 from flowlens import schemas
 from flowlens.operators import backtest as bt
 from flowlens.plans import queries as reg
@@ -67,7 +69,7 @@ def values(sets: list[dict]) -> str:
     return f"select * from (values {', '.join(rows)}) v({', '.join(schemas.PARAMS.names)})"
 
 
-def quantile_model(source: str, group: str, least: bool = False) -> str:
+def quantile_model(source: str, group: str) -> str:
     return f"select {group}, count(*) as n, quantile_cont(observed_return, {Q5}) as q from {source} group by {group}"
 
 
@@ -317,23 +319,21 @@ BLOCKS = {
   else 2 * (1 - {c}) + 2 * {p} * case when dof < 3 then 0 else list_sum([pow(chi2, i - 0.5) / list_product([2 * j - 1 for j in range(1, i + 1)])
    for i in range(1, (dof - 1) // 2 + 1)]) end end as p from chi2""".format(c=cdf("sqrt(chi2)"), p=pdf("sqrt(chi2)")),
 }
-DEPENDS = {
-    name: [o for o in BLOCKS if o != name and __import__("re").search(rf"\b(from|join|in \(select \w+ from) {o}\b|from \(?{o}\b|join {o}\b", text)]
-    for name, text in BLOCKS.items()
-}
 
 
-def _needed(text: str) -> list[str]:
-    import re
+def _mentioned(text: str) -> list[str]:
+    return [name for name in BLOCKS if re.search(rf"\b(from|join) {name}\b", text)]
+
 
+def _needed(text: str) -> list[str]:
     found: set[str] = set()
-    queue = [o for o in BLOCKS if re.search(rf"\b(from|join) {o}\b", text)]
+    queue = _mentioned(text)
     while queue:
-        n = queue.pop()
-        if n not in found:
-            found.add(n)
-            queue += DEPENDS[n]
-    return [n for n in BLOCKS if n in found]
+        name = queue.pop()
+        if name not in found:
+            found.add(name)
+            queue += _mentioned(BLOCKS[name])
+    return [name for name in BLOCKS if name in found]
 
 
 def _sql(body: str) -> str:
@@ -365,7 +365,6 @@ def six(*names: str) -> str:
 SNAP = "ticker, snapshot_date, expiration"
 TRADE = "id, ticker, strike, option_type, side, vol_oi_ratio, underlier_price"
 QUOTE = f"ticker, strike, option_type, volume, open_interest, {K}"
-SUMS = """coalesce(sum(volume) filter (option_type = 'Call'), 0) as call_volume, coalesce(sum(volume) filter (option_type <> 'Call'), 0) as put_volume"""
 PCR = f"case when call_volume > 0 then {half_up('put_volume / cast(call_volume as double)', 4)} else 1.0 end as put_call_ratio"
 
 
@@ -399,23 +398,17 @@ def auc(source: str, by: str = "") -> str:
     group = f"group by {by}" if by else ""
     return f"""select {keys}round(coalesce(sum(pos * (cum - neg / cast(2 as double))) / nullif(cast(sum(pos) as double) * sum(neg), 0), 0), 6) as roc_auc from (
  select *, sum(neg) over ({part} order by s) as cum from (
-  select {keys}q[3] as s, count(*) filter (observed_return >= 0.03) as pos, count(*) filter (observed_return < 0.03) as neg from {source} group by all)) {group}"""
-
-
-def deciles(feature: str) -> str:
-    return f"select * from long where feature = '{feature}'"
+  select {keys}round(q[3], 9) as s, count(*) filter (observed_return >= 0.03) as pos, count(*) filter (observed_return < 0.03) as neg from {source} group by all)) {group}"""
 
 
 _d1, _d2 = bs("underlier_price", "strike", "(dte / cast(365 as double))", "(implied_vol / 100)")
 _tr = "from (select *, {0} as d1, dte / cast(365 as double) as t, implied_vol / 100 as v from trades)".format(_d1)
 _disc = "exp(-0.045 * t)"
 _s, _d2x = "underlier_price", "(d1 - v * sqrt(t))"
-_BY_RUN = "select run_id, strategy_type, id from elig_b where strategy_type in ({0})"
 
 
 def elig(*names: str) -> str:
     """Run numbers start at 0 among the selected sets."""
-    first = f"(select min(run_id) from params where strategy_type in ({', '.join(repr(n) for n in names)}))"
     inside = ", ".join(repr(n) for n in names)
     return (
         f"select rank as run_id, strategy_type, id from (select e.*, p.rank from elig_b e join (select run_id, cast(row_number() over (order by run_id) - 1 as bigint) as rank "
@@ -696,7 +689,7 @@ BODIES = {
 }
 
 
-def _recursive_safe(name: str, body: str) -> str:
+def _recursive_safe(body: str) -> str:
     """Blocks go before the query's own WITH list."""
     lead = body.lstrip()
     for head in ("with recursive ", "with "):
@@ -707,4 +700,4 @@ def _recursive_safe(name: str, body: str) -> str:
     return _sql(body)
 
 
-ORACLE = {name: _recursive_safe(name, body) for name, body in BODIES.items()}
+ORACLE = {name: _recursive_safe(body) for name, body in BODIES.items()}
