@@ -26,50 +26,51 @@ def norm_pdf(x: Column) -> Column:
 
 
 def norm_cdf(x: Column) -> Column:
+    """Written without branches, so that Spark evaluates the repeated parts once per row."""
     t = lit(1) / (lit(1) + lit(CDF_SCALE) * F.abs(x))
     poly = lit(0)
     for a in reversed(CDF_TERMS):
         poly = (poly + lit(a)) * t
-    upper = norm_pdf(x) * poly
-    return F.when(x < 0, upper).otherwise(lit(1) - upper)
+    return lit(0.5) + F.signum(x) * (lit(0.5) - norm_pdf(x) * poly)
 
 
-def _d1(s: Column, k: Column, t: Column, vol: Column) -> Column:
-    return F.try_divide(F.log(F.try_divide(s, k)) + (lit(RATE) + vol * vol / 2) * t, vol * F.sqrt(t))
+def _d1_d2(s: Column, k: Column, t: Column, vol: Column, ok: Column) -> tuple[Column, Column]:
+    """NULL unless ``ok``; the callers fall back to the degenerate value by ``coalesce``."""
+    dev = F.when(ok, vol * F.sqrt(t))
+    d1 = F.try_divide(F.log(F.try_divide(s, k)) + (lit(RATE) + vol * vol / 2) * t, dev)
+    return d1, d1 - dev
 
 
 def bs_price(option_type: Column | str, s: Column | str, k: Column | str, t: Column | str, vol: Column | str) -> Column:
-    """European price; intrinsic value where time, volatility or a price is not positive."""
-    call = c(option_type) == "Call"
+    """European price; intrinsic value where time, volatility or a price is not positive.
+
+    The put comes from the call by parity, so each distribution value is needed once.
+    """
+    put = c(option_type) != "Call"
     s, k, t, vol = c(s), c(k), c(t), c(vol)
-    d1 = _d1(s, k, t, vol)
-    d2 = d1 - vol * F.sqrt(t)
+    d1, d2 = _d1_d2(s, k, t, vol, (t > 0) & (vol > 0) & (s > 0) & (k > 0))
     paid = k * F.exp(lit(-RATE) * t)
-    model = F.when(call, s * norm_cdf(d1) - paid * norm_cdf(d2)).otherwise(paid * norm_cdf(-d2) - s * norm_cdf(-d1))
-    intrinsic = F.greatest(F.when(call, s - k).otherwise(k - s), lit(0))
-    return F.when((t <= 0) | (vol <= 0) | (s <= 0) | (k <= 0), intrinsic).otherwise(model)
+    model = s * norm_cdf(d1) - paid * norm_cdf(d2) + F.when(put, paid - s).otherwise(lit(0))
+    return F.coalesce(model, F.greatest(F.when(put, k - s).otherwise(s - k), lit(0)))
 
 
 def greeks(option_type: Column | str, s: Column | str, k: Column | str, t: Column | str, vol: Column | str) -> Column:
     """Struct of delta, gamma, vega, theta and rho (per unit of each input)."""
     call = c(option_type) == "Call"
     s, k, t, vol = c(s), c(k), c(t), c(vol)
-    flat = (t < 1e-6) | (vol < 1e-6) | (s <= 0)
-    d1 = _d1(s, k, t, vol)
-    d2 = d1 - vol * F.sqrt(t)
+    d1, d2 = _d1_d2(s, k, t, vol, (t >= 1e-6) & (vol >= 1e-6) & (s > 0) & (k > 0))
     pdf, paid = norm_pdf(d1), k * F.exp(lit(-RATE) * t)
+    shift = F.when(call, lit(0)).otherwise(lit(-1))
+    owed = paid * (norm_cdf(d2) + shift)
     step = F.when(call & (s > k), 1.0).when(~call & (s < k), -1.0).otherwise(0.0)
-    decay = -s * pdf * F.try_divide(vol, 2 * F.sqrt(t))
     live = {
-        "delta": F.when(call, norm_cdf(d1)).otherwise(norm_cdf(d1) - 1),
+        "delta": norm_cdf(d1) + shift,
         "gamma": F.try_divide(pdf, s * vol * F.sqrt(t)),
         "vega": s * pdf * F.sqrt(t),
-        "theta": decay + F.when(call, -lit(RATE) * paid * norm_cdf(d2)).otherwise(lit(RATE) * paid * norm_cdf(-d2)),
-        "rho": F.when(call, t * paid * norm_cdf(d2)).otherwise(-t * paid * norm_cdf(-d2)),
+        "theta": -s * pdf * F.try_divide(vol, 2 * F.sqrt(t)) - lit(RATE) * owed,
+        "rho": t * owed,
     }
-    return F.struct(
-        *[F.when(flat, step if name == "delta" else lit(0)).otherwise(e).alias(name) for name, e in live.items()]
-    )
+    return F.struct(*[F.coalesce(e, step if name == "delta" else lit(0)).alias(name) for name, e in live.items()])
 
 
 def skew_adjustment(moneyness: Column | str, dte: Column | str) -> Column:

@@ -19,10 +19,10 @@ def folds(trades: DataFrame, train: int = 500, increment: int = 500) -> DataFram
     Too few rows for one full fold is an error, as there is nothing to test.
     """
     rows = number_rows(trades, ["ts", "id"])
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    enough = F.when(n.scalar() < train + increment, F.raise_error(F.lit("too few rows for a walk-forward"))).cast("bigint")
+    if rows.count() < train + increment:  # a count of the table that was just written
+        raise ValueError("too few rows for a walk-forward")
     fold = F.when(F.col("idx") < train, F.lit(-1).cast("bigint")).otherwise(F.floor((F.col("idx") - train) / lit(increment)))
-    return rows.withColumn("fold", F.coalesce(enough, fold).cast("int"))
+    return rows.withColumn("fold", fold.cast("int"))
 
 
 def fold_bounds(rows: DataFrame) -> DataFrame:
