@@ -7,8 +7,8 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.functions.pricing import lit
-from flowlens.operators.joins import asof_price
-from flowlens.operators.scale import exact_quantiles
+from flowlens.operators.joins import asof_price, daily_close
+from flowlens.operators.scale import exact_quantiles, lookup
 from flowlens.operators.vol import rolling_hv
 
 NUMERIC = (
@@ -48,9 +48,9 @@ def features(trades: DataFrame, bars: DataFrame | None = None, vix: DataFrame |
     else:
         x = asof_price(x, rolling_hv(bars), "trade_date").withColumn("hv", F.coalesce("spot", lit(0))).drop("spot")
         index = vix.select(F.lit("index").alias("ticker"), F.col("vix_date").alias("bar_date"), F.col("vix").alias("close"))
-        days = x.select(F.lit("index").alias("ticker"), "trade_date").distinct()
-        level = asof_price(days, index, "trade_date").select("trade_date", F.col("spot").alias("_level"))
-        x = x.join(level, "trade_date", "left").withColumn("vix_level", F.coalesce("_level", lit(STATIC_VIX))).drop("_level")
+        last_day = x.select(F.max("trade_date").alias("m"))
+        level = daily_close(index, last_day.scalar()).select(F.col("day").alias("trade_date"), F.col("spot").alias("_level"))
+        x = lookup(x, level, ["trade_date"], ["id"]).withColumn("vix_level", F.coalesce("_level", lit(STATIC_VIX))).drop("_level")
     ratio = F.when(F.col("hv") > 0, F.try_divide("implied_vol", "hv")).otherwise(lit(1))
     return x.withColumn("iv_hv_ratio", ratio)
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowlens.functions.pricing import lit, norm_cdf, norm_pdf
 from flowlens.operators.audit import POPULATION, numeric_long
-from flowlens.operators.scale import exact_quantiles, lookup, running_totals
+from flowlens.operators.scale import exact_quantiles, running_totals
 
 KS_FEATURES = ("vol_oi_ratio", "implied_vol", "dte", "premium", "strike", "underlier_price")
 KS_LABEL = ("observed_return", "max_adverse_return")
@@ -71,10 +71,10 @@ def chi2_of_counts(counts: DataFrame) -> DataFrame:
 
     NULL with fewer than two levels or an empty population; continuity-corrected for 2 x 2.
     """
-    totals = counts.groupBy("feature").agg(
-        F.sum("s").alias("ts"), F.sum("r").alias("tr"), F.count(F.lit(1)).alias("levels")
+    by_feature = W.partitionBy("feature")  # one row per level
+    x = counts.select(
+        "*", F.sum("s").over(by_feature).alias("ts"), F.sum("r").over(by_feature).alias("tr"), F.count(F.lit(1)).over(by_feature).alias("levels")
     )
-    x = lookup(counts, totals, ["feature"], ["level"], "inner")
     both = (F.col("ts") + F.col("tr")).cast("double")
 
     def part(seen: str, total: str) -> Column:
@@ -121,9 +121,10 @@ def label_rate_delta(trades: DataFrame) -> DataFrame:
     def rate(c: str) -> Column:
         return F.coalesce(F.try_divide(F.sum(F.when(won, F.col(c)).otherwise(0)).cast("double"), F.sum(c).cast("double")), lit(0))
 
-    rates = counts.groupBy("feature").agg(rate("s").alias("synthetic_rate"), rate("r").alias("real_rate"))
-    rates = rates.withColumn("delta", F.col("synthetic_rate") - F.col("real_rate"))
-    return rates.join(chi2_of_counts(counts).select("feature", "chi2", "p_value"), "feature")
+    rates = counts.agg(F.struct(rate("s").alias("synthetic_rate"), rate("r").alias("real_rate")).alias("r"))
+    x = chi2_of_counts(counts).withColumn("r", rates.scalar())
+    delta = F.col("r.synthetic_rate") - F.col("r.real_rate")
+    return x.select("r.synthetic_rate", "r.real_rate", delta.alias("delta"), "chi2", "p_value")
 
 
 def validation_gate(ks_df: DataFrame, chi2_df: DataFrame, documented: Sequence[str] = DOCUMENTED) -> DataFrame:

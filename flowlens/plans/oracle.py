@@ -627,7 +627,7 @@ BODIES = {
  select *, case when trades >= 20 and pnl_pct > 0 then 1 when trades >= 10 then 2 else 3 end as tier from ranked)) where r = 1""",
     "sweep_heatmap": """select kelly_multiplier, max(s) filter (stop_lambda = 0.5) as stop_0_5, max(s) filter (stop_lambda = 1.0) as stop_1_0, max(lo) as lowest, max(hi) as highest from (
  select p.kelly_multiplier, p.stop_lambda, round(m.sharpe, 6) as s, min(round(m.sharpe, 6)) over () as lo, max(round(m.sharpe, 6)) over () as hi from summary m
- join params p on p.run_id = m.run_id where p.run_id >= 6) group by kelly_multiplier""",
+ join params p on p.run_id = m.run_id where p.run_id between 6 and 9) group by kelly_multiplier""",
     "profitability_report": f"""select run_id, strategy_type, trades, {six('pnl_pct')}, cast(starts_with(strategy_type, '_legacy_') as int) as legacy from summary
  where pnl_pct > 0 and (starts_with(strategy_type, '_legacy_') or trades >= 30)""",
     "audit_overview": """select is_synthetic, count(*) as n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_ts,

