@@ -166,7 +166,8 @@ BLOCKS = {
   (c % 1000) / cast(100 as double) as last_price, (c % 1000 + 5 * s - hw) / cast(100 as double) as bid,
   (c % 1000 + 5 * s + hw) / cast(100 as double) as ask, cast(0.05 as double) + (l_partkey % 150) / cast(100 as double) as implied_vol,
   cast(snap as timestamp) + to_seconds(l_orderkey % 86400) as last_trade_ts, l_orderkey as k1, l_linenumber as k2, c as k3 from x""",
-    "ratioed": f"select *, {RATIO} as vol_oi_ratio from chain where volume > 0",
+    "ratioed": f"""select *, {RATIO} as vol_oi_ratio from (select * replace (case when max(volume) over w <= 0 and max(open_interest) over w > 0
+  then open_interest else volume end as volume) from chain window w as (partition by ticker, snapshot_date)) where volume > 0""",
     "labeled": f"""with w as (select t.id, max_by(b.close, b.bar_date) as settle, min(b.close) as low, max(b.close) as high
    from trades t join bars b on t.ticker = b.ticker and b.bar_date between t.trade_date and t.trade_date + 10 group by t.id),
  g as (select t.*, w.settle is not null and t.ts <= {AS_OF} - interval 10 day as labeled,
