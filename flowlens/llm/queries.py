@@ -4,20 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import ngram_join
+from flowlens.llm import decontaminate, langid, ngram_join, packing, quality_gam, rules
+from flowlens.llm.common import bucket_of_id
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from ids whose crc32 is not divisible by 5; predicts every text."""
+    docs = _table(spark, sf_dir, "documents")
+    held = bucket_of_id(F.col("doc_id"), 5) == 0
+    net = langid.fit(docs.select("doc_id", "text", "lang").where(~held))
+    return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), net).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+
+
+def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labels of ids whose crc32 modulo 4 is not 2; scores every text."""
+    docs = _table(spark, sf_dir, "documents")
+    held = bucket_of_id(F.col("doc_id"), 4) == 2
+    model = quality_gam.fit(docs.select("doc_id", "text").where(~held), _table(spark, sf_dir, "labels").where(~held))
+    return quality_gam.score(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_decontamination": op5_decontamination,
+    "op6_quality_gam": op6_quality_gam,
+    "op9_quality_rules": op9_quality_rules,
 }
 ORACLE: dict[str, str] = {}
