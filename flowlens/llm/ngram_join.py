@@ -217,7 +217,7 @@ def _table(df: DataFrame, name: str) -> DataFrame:
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, once: bool) -> DataFrame:
     """Pairs of different components in both posting lists, after length, positional and suffix filter, each once."""
-    names = ("fp", "n", "place", "spans", "comp")
+    names = ("fp", "n", "rare", "place", "spans", "comp")
     a, b = (df.select("token", *[F.col(c).alias(f"{c}_{side}") for c in names]) for df, side in ((left, "a"), (right, "b")))
     # The least overlap of two linked sets: ceil(t (na + nb) / (1 + t)).
     need = F.expr(f"({percent} * (n_a + n_b) + {percent} + 99) div ({percent} + 100)")
@@ -225,7 +225,8 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, once: bool) -> DataF
     met = a.join(b, "token").where(
         ((F.col("comp_a") < F.col("comp_b")) if once else (F.col("comp_a") != F.col("comp_b")))
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & (F.least("place_a", "place_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need)
+        # Shingles that one set alone holds come first and are never common.
+        & (F.least(F.col("place_a") - F.col("rare_a"), F.col("place_b") - F.col("rare_b")) + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need)
         & (common >= need)
     )
     return met.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
@@ -272,13 +273,14 @@ def _linked_components(sets: DataFrame, percent: int) -> DataFrame:
     length = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
     found = ordered.join(sets.select("fp", "n", "spans"), "fp").withColumn("room", (length - rare).cast("int")).where("room > 0")
     found = found.select("fp", "n", "spans", rare.alias("rare"), F.posexplode(F.slice("known", F.lit(1), F.col("room"))).alias("i", "x"))
-    postings = _table(found.select(F.col("x.token").alias("token"), "fp", "n", "spans", (F.col("rare") + F.col("i")).alias("place")), "postings")
+    postings = _table(found.select(F.col("x.token").alias("token"), "fp", "n", "rare", "spans", (F.col("rare") + F.col("i")).alias("place")), "postings")
     comps = _table(postings.select("fp", F.col("fp").alias("comp")).distinct(), "comps")
     tried: DataFrame | None = None
     stars = True
     for turn in range(STAR_ROUNDS + 1):
         listed = postings.join(comps, "fp")
-        leads = F.min_by(F.struct("fp", "n", "place", "spans", "comp"), F.xxhash64("fp", F.lit(turn))).alias("lead")
+        # The set with the fewest shingles of its own is the likeliest centre of a group.
+        leads = F.min_by(F.struct("fp", "n", "rare", "place", "spans", "comp"), F.struct("rare", F.xxhash64("fp", F.lit(turn)))).alias("lead")
         open_ = listed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), leads).where("c1 <> c2")
         rest = listed.join(open_.select("token"), "token", "left_semi")
         last = not stars or turn == STAR_ROUNDS
