@@ -1,8 +1,66 @@
-"""Corpus pipeline: documents to packed training sequences."""
+"""Corpus pipeline: documents to packed training sequences, stage by stage.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage takes what the one before kept, written as Parquet and read again, and all but the last
+return the columns of documents. A stage that learns does so from the rows it gets.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from flowlens.llm import decontaminate, langid, ngram_join, packing, quality_gam
+from flowlens.session import scratch_path
+
+LEAST_LANGUAGE = 0.4
+LEAST_QUALITY = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in a recognised language stay."""
+    net = langid.fit(docs.select("doc_id", "text", "lang"))
+    return langid.known_language(docs, net, LEAST_LANGUAGE)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that the classifier takes for good ones stay."""
+    model = quality_gam.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_gam.good_documents(docs, model, least=LEAST_QUALITY)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents, placed in training sequences."""
+    return packing.packed_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
+#: Two stages are trained models, which SQL cannot express; the stages are tested against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

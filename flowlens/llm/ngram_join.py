@@ -35,8 +35,9 @@ from flowlens.llm.common import SPACED, mixed, words_of
 from flowlens.session import scratch_path
 
 FILTER_BITS = 1 << 28
-BLOCK = 2_000_000
-RANGE_ENTRIES = 4_000_000
+BLOCK = 1_000_000
+RANGE_ENTRIES = 1_500_000
+SENT_BITS = 40  # of a hash, in the search for repeated ones; a collision lets one more text pass step 2
 SPANS = 16
 STAR_ROUNDS = 4
 
@@ -80,38 +81,37 @@ def fingerprints(flat: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [both[i : i + 16] for i in range(0, len(both), 16)]
 
 
-def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+def _sent(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - SENT_BITS)
+
+
+def _range_of(sent: np.ndarray, ranges: int) -> np.ndarray:
+    return ((sent >> np.uint64(SENT_BITS - 32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
 def _packed(h: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted hashes as 48-bit steps where they fit, and the counts that are not 1."""
+    """Sorted values as 32-bit steps where they fit, and the counts that are not 1."""
     steps = np.diff(h, prepend=h[:1])
     many = np.flatnonzero(n > 1).astype(np.uint32)
-    short = not len(steps) or int(steps.max()) < 1 << 48
+    short = int(steps.max()) < 1 << 32
     head = np.array([len(h), len(many), short], np.uint32).tobytes() + h[:1].tobytes()
-    body = (steps & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (steps >> np.uint64(32)).astype(np.uint16).tobytes() if short else h.tobytes()
-    return head + body + many.tobytes() + n[many].astype(np.uint32).tobytes()
+    return head + (steps.astype(np.uint32) if short else h).tobytes() + many.tobytes() + n[many].astype(np.uint32).tobytes()
 
 
 def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     size, many, short = np.frombuffer(raw, np.uint32, 3).tolist()
-    at = 12 + 8 * bool(size)
     if short:
-        low = np.frombuffer(raw, np.uint32, size, at).astype(np.uint64)
-        high = np.frombuffer(raw, np.uint16, size, at + 4 * size).astype(np.uint64)
-        h = np.cumsum(low | (high << np.uint64(32)), dtype=np.uint64) + np.frombuffer(raw, np.uint64, 1 if size else 0, 12)
-        at += 6 * size
+        h = np.cumsum(np.frombuffer(raw, np.uint32, size, 20), dtype=np.uint64) + np.frombuffer(raw, np.uint64, 1, 12)
     else:
-        h = np.frombuffer(raw, np.uint64, size, at)
-        at += 8 * size
+        h = np.frombuffer(raw, np.uint64, size, 20)
+    at = 20 + (4 if short else 8) * size
     n = np.ones(size, np.int64)
     n[np.frombuffer(raw, np.uint32, many, at)] = np.frombuffer(raw, np.uint32, many, at + 4 * many)
     return h, n
 
 
 def _bits(h: np.ndarray, per_range: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bit places of each hash within the slice of its range."""
+    """Two bit places of each value within the slice of its range."""
     m = mixed(h, 11)
     return (m & np.uint64(0xFFFFFFFF)) % np.uint64(per_range), (m >> np.uint64(32)) % np.uint64(per_range)
 
@@ -135,7 +135,7 @@ def repeated_filter(docs: DataFrame, text: str, size: int, ranges: int, per_rang
         for batch in batches:
             for _, flat, _ in shingle_sets(batch.column(0), size):
                 if len(flat):
-                    held.append(flat)
+                    held.append(_sent(flat))
                 if sum(map(len, held)) >= BLOCK:
                     yield block()
         if held:
@@ -181,9 +181,10 @@ def _suspects(docs: DataFrame, text: str, size: int, percent: int, bits: np.ndar
         known = shared.value
         for batch in batches:
             for _, flat, at in shingle_sets(batch.column(0), size):
-                r = _range_of(flat, ranges).astype(np.int64)
+                sent = _sent(flat)
+                r = _range_of(sent, ranges).astype(np.int64)
                 seen = np.ones(len(flat), bool)
-                for place in _bits(flat, per_range):
+                for place in _bits(sent, per_range):
                     place = place.astype(np.int64)
                     seen &= (known[r, place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
                 total = np.concatenate([[0], np.cumsum(seen)])
