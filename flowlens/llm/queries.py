@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import chat, decontaminate, langid, lm, ngram_join, packing, quality_gam, rules, token_counts, urls
+from flowlens.llm import chat, decontaminate, langid, lm, ngram_join, oracle, packing, quality_gam, rules, token_counts, urls
 from flowlens.llm.common import bucket_of_id
 
 
@@ -100,4 +100,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.ORACLE
