@@ -19,7 +19,7 @@ def _escaped(text: str) -> str:
 OP2 = f"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_SPACED}') AS w FROM documents),
 shingle AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
   FROM words),
 size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
@@ -44,7 +44,7 @@ FROM turns GROUP BY conv_id
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OP5 = f"""
 WITH item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_ALNUM}') AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), i -> array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS s, least(10, len(w)) AS k FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS s, least(10, len(w)) AS k FROM item WHERE len(w) > 0),
 doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_ALNUM}') AS w FROM documents),
 size AS (SELECT DISTINCT k FROM win),
 place AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM doc, size WHERE len(w) >= k),
@@ -72,7 +72,7 @@ again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM again) GROUP BY doc_id),
 counts AS (
   SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '{_SPACED}')) AS l, coalesce(rep.n, 0) AS n_repeat_words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACED}')) AS l, coalesce(rep.n, 0) AS n_repeat_words,
     len(list_intersect(list_distinct(regexp_split_to_array(lower(t), '[\\x00-\\x60\\x7B-\\x7F]+')), [{_STOPS}])) AS stop_words,
     len(regexp_extract_all(t, '!')) AS n_bangs, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0DA-Za-z\\x{{80}}-\\x{{10FFFF}}]')) AS n_other
   FROM t LEFT JOIN rep USING (doc_id)),
