@@ -22,11 +22,14 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def numeric_long(trades: DataFrame, cols: Sequence[str] = FEATURES, label_cols: Sequence[str] = LABEL_FEATURES, keep: Sequence[str] = (POPULATION,)) -> DataFrame:
-    """(feature, value) rows of all features in one pass; label features of labelled rows only."""
+    """(feature, value) rows of all features in one pass; label features of labelled rows only.
+
+    Values that are NULL, NaN or infinite are left out, for every figure alike.
+    """
     picked = [F.col(c).cast("double").alias(c) for c in cols]
     picked += [F.when(F.col("labeled"), F.col(c)).cast("double").alias(c) for c in label_cols]
     x = trades.select(*keep, *picked)
-    return x.unpivot(list(keep), [*cols, *label_cols], "feature", "value").where(F.col("value").isNotNull())
+    return x.unpivot(list(keep), [*cols, *label_cols], "feature", "value").where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != F.lit(float("inf"))))
 
 
 def audit_overview(trades: DataFrame) -> DataFrame:

@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from flowlens import schemas
 from flowlens.functions import signals as sg
 from flowlens.functions.pricing import lit
-from flowlens.operators.scale import lookup
 
-MAX_RUNS = 1000
+SETS_PER_BLOCK = 256
 HOLD_FLOOR = -0.50
 
 # The envelopes of the three rule sets
@@ -55,14 +54,25 @@ def params_frame(spark: SparkSession, sets: list[dict]) -> DataFrame:
 def params_cross(candidates: DataFrame, params: DataFrame) -> DataFrame:
     """Every candidate under every parameter set, as columns of struct ``p``.
 
-    The sets are a short configuration (at most ``MAX_RUNS``): they travel as one array
-    value that is unfolded per row, so the filters that follow run in the same stage and
-    rejected pairs are never written anywhere.
+    The sets travel as one value, an array of blocks of sets, that is unfolded per row, so the
+    filters that follow run in the same stage and rejected pairs are never written anywhere.
     """
-    if params.limit(MAX_RUNS + 1).count() > MAX_RUNS:
-        raise ValueError(f"more than {MAX_RUNS} parameter sets; split the sweep")
-    every = params.agg(F.array_sort(F.collect_list(F.struct(*schemas.PARAMS.names))).alias("a"))
-    return candidates.withColumn("p", F.explode(every.scalar()))
+    block = F.floor((F.row_number().over(W.orderBy("run_id")) - 1) / F.lit(SETS_PER_BLOCK))  # one row per set
+    blocks = params.select(F.struct(*schemas.PARAMS.names).alias("s"), block.alias("b")).groupBy("b").agg(F.array_sort(F.collect_list("s")).alias("sets"))
+    every = blocks.agg(F.array_sort(F.collect_list("sets")).alias("a"))
+    return candidates.withColumn("_block", F.explode(every.scalar())).withColumn("p", F.explode("_block")).drop("_block")
+
+
+def with_tier(predictions: DataFrame, tier_a: DataFrame) -> DataFrame:
+    """Flag ``listed``: the ticker is in ``tier_a`` (tickers, once each), or the row is synthetic."""
+    j = predictions.join(tier_a.select("ticker", F.lit(True).alias("_tier")), ["ticker"], "left")
+    return j.withColumn("listed", (F.col("is_synthetic") == 1) | F.coalesce("_tier", F.lit(False))).drop("_tier")
+
+
+def candidates(predictions: DataFrame, params: DataFrame) -> DataFrame:
+    """Predictions that any set could take: no rule accepts a probability more than 0.05 under its threshold."""
+    least = params.agg((F.min("prob_threshold") - lit(0.06)).alias("t"))
+    return predictions.where(F.col("p_success") >= least.scalar())
 
 
 def _p(name: str) -> Column:
@@ -73,15 +83,13 @@ def _strategy(*names: str) -> Column:
     return _p("strategy_type").isin(*names)
 
 
-def eligible(pairs: DataFrame, tier_a: DataFrame | None = None) -> DataFrame:
+def eligible(pairs: DataFrame) -> DataFrame:
     """Pairs that pass the rules of their strategy.
 
-    Real rows must be of a ticker in ``tier_a``; the synthetic population is exempt. An
-    unknown number counts as 0, an unknown volatility as 30 in the regime rules.
+    Where ``with_tier`` has flagged the rows, they must be ``listed``. An unknown number
+    counts as 0, an unknown volatility as 30 in the regime rules.
     """
-    if tier_a is not None:
-        pairs = lookup(pairs, tier_a.select("ticker", F.lit(True).alias("_tier")), ["ticker"], ["id"])
-    listed = (F.col("is_synthetic") == 1) | (F.coalesce("_tier", F.lit(False)) if tier_a is not None else F.lit(True))
+    listed = F.col("listed") if "listed" in pairs.columns else F.lit(True)
     p, spread, median = F.col("p_success"), F.col("q")[4] - F.col("q")[0], F.col("q")[2]
     threshold, cap = _p("prob_threshold"), _p("max_quantile_spread")
     iv = F.coalesce("implied_vol", lit(0))
@@ -192,8 +200,9 @@ def ledger(stopped: DataFrame) -> DataFrame:
 
 def run(predictions: DataFrame, params: DataFrame, tier_a: DataFrame | None = None, horizon: int = 10) -> DataFrame:
     """Predictions to ledger for all parameter sets."""
-    pairs = params_cross(predictions, params)
-    return ledger(time_stop(exits(size(liquidity(eligible(pairs, tier_a)))), horizon))
+    x = predictions if tier_a is None else with_tier(predictions, tier_a)
+    pairs = params_cross(candidates(x, params), params)
+    return ledger(time_stop(exits(size(liquidity(eligible(pairs)))), horizon))
 
 
 def equity_curve(ledger_df: DataFrame, predictions: DataFrame, params: DataFrame, horizon: int = 10) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowlens.functions.pricing import lit
 from flowlens.operators.joins import asof_price, daily_close
-from flowlens.operators.scale import exact_quantiles, lookup
+from flowlens.operators.scale import exact_quantiles
 from flowlens.operators.vol import rolling_hv
 
 NUMERIC = (
@@ -50,7 +50,7 @@ def features(trades: DataFrame, bars: DataFrame | None = None, vix: DataFrame |
         index = vix.select(F.lit("index").alias("ticker"), F.col("vix_date").alias("bar_date"), F.col("vix").alias("close"))
         last_day = x.select(F.max("trade_date").alias("m"))
         level = daily_close(index, last_day.scalar()).select(F.col("day").alias("trade_date"), F.col("spot").alias("_level"))
-        x = lookup(x, level, ["trade_date"], ["id"]).withColumn("vix_level", F.coalesce("_level", lit(STATIC_VIX))).drop("_level")
+        x = x.join(level, ["trade_date"], "left").withColumn("vix_level", F.coalesce("_level", lit(STATIC_VIX))).drop("_level")
     ratio = F.when(F.col("hv") > 0, F.try_divide("implied_vol", "hv")).otherwise(lit(1))
     return x.withColumn("iv_hv_ratio", ratio)
 
@@ -69,24 +69,34 @@ def training_filter(trades: DataFrame, synthetic: bool | None = None) -> DataFra
     )
 
 
+def _filled(df: DataFrame, fills: dict) -> DataFrame:
+    """Numeric columns as doubles without NULL, NaN or infinity, categories without NULL, where a fill is known."""
+    numbers = {}
+    for c in NUMERIC:
+        v = F.col(c).cast("double")
+        numbers[c] = F.when(F.isnan(v) | (F.abs(v) == lit(float("inf"))), None).otherwise(v)
+    return df.withColumns(numbers).fillna({k: v for k, v in fills.items() if v is not None})
+
+
 def impute_encode(df: DataFrame):
     """Fit medians, modes and one-hot levels; returns (fills, pipeline model).
 
-    ``fills`` is one row. Unseen levels get an all-zero vector.
+    ``fills`` is one row. Unseen levels get an all-zero vector. A column without any value at
+    fit time has no median or mode and takes no part in the vector; no row is left out.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in NUMERIC]).unpivot([], list(NUMERIC), "feature", "v")
     medians = exact_quantiles(long, ["feature"], "v", [0.5]).groupBy().pivot("feature", list(NUMERIC)).agg(F.first(F.col("q")[0]))
     modes = df.agg(*[F.mode(c, True).alias(c) for c in CATEGORICAL])
     fills = {**medians.first().asDict(), **modes.first().asDict()}  # one row of fitted constants
-    clean = df.fillna({k: v for k, v in fills.items() if v is not None})
-    stages = [StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep") for c in CATEGORICAL]
-    stages.append(OneHotEncoder(inputCols=[f"{c}_ix" for c in CATEGORICAL], outputCols=[f"{c}_hot" for c in CATEGORICAL]))
-    stages.append(
-        VectorAssembler(inputCols=[*NUMERIC, *[f"{c}_hot" for c in CATEGORICAL]], outputCol="features", handleInvalid="skip")
-    )
+    clean = _filled(df, fills)
+    numbers, kinds = ([c for c in cols if fills.get(c) is not None] for cols in (NUMERIC, CATEGORICAL))
+    stages = [StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep") for c in kinds]
+    if kinds:
+        stages.append(OneHotEncoder(inputCols=[f"{c}_ix" for c in kinds], outputCols=[f"{c}_hot" for c in kinds]))
+    stages.append(VectorAssembler(inputCols=[*numbers, *[f"{c}_hot" for c in kinds]], outputCol="features", handleInvalid="error"))
     return fills, Pipeline(stages=stages).fit(clean)
 
 
 def encode(df: DataFrame, fitted) -> DataFrame:
     fills, model = fitted
-    return model.transform(df.fillna({k: v for k, v in fills.items() if v is not None}))
+    return model.transform(_filled(df, fills))

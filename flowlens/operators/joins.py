@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowlens.functions.pricing import lit
-from flowlens.operators.scale import lookup
 
 
 def daily_close(bars: DataFrame, last_day: Column) -> DataFrame:
@@ -27,7 +26,7 @@ def asof_price(df: DataFrame, bars: DataFrame, date_col: str, spread: tuple[str,
     last_day = df.select(F.max(date_col).alias("m"))
     prices = daily_close(bars, last_day.scalar()).withColumnRenamed("day", date_col)
     keys = spread if spread != ("ticker",) else tuple(c for c in ("id", "k1", "k2", "k3") if c in df.columns) or spread
-    return lookup(df, prices, ["ticker", date_col], keys)
+    return df.join(prices, ["ticker", date_col], "left")
 
 
 def label_window(bars: DataFrame, horizon: int = 10) -> DataFrame:
@@ -58,13 +57,13 @@ def label_range_join(trades: DataFrame, bars: DataFrame, horizon: int = 10) -> D
         F.explode(F.sequence(F.date_sub("bar_date", horizon), F.col("bar_date"))).alias("trade_date"),
     )
     windows = days.groupBy("ticker", "trade_date").agg(F.collect_list("_bar").alias("_bars"))
-    joined = lookup(trades, windows, ["ticker", "trade_date"], ["id"], "inner")
+    joined = trades.join(windows, ["ticker", "trade_date"], "inner")
     return joined.withColumn("_bar", F.explode("_bars")).select(*trades.columns, "_bar.bar_date", "_bar.close")
 
 
 def join_ticker_vol(trades: DataFrame, hv: DataFrame) -> DataFrame:
     """Add the ticker's volatility (0 when unknown) and the ratio to it (1.0 when 0)."""
-    j = lookup(trades, hv.select("ticker", "hv"), ["ticker"], ["id"])
+    j = trades.join(hv.select("ticker", "hv"), ["ticker"], "left")
     known = F.coalesce("hv", lit(0))
     return j.withColumn("hv", known).withColumn(
         "iv_hv_ratio", F.when(known > 0, F.try_divide("implied_vol", known)).otherwise(lit(1))
@@ -73,7 +72,7 @@ def join_ticker_vol(trades: DataFrame, hv: DataFrame) -> DataFrame:
 
 def join_vix(df: DataFrame, vix: DataFrame, date_col: str = "trade_date", default: float = 20.0) -> DataFrame:
     """Index level of exactly that date, ``default`` when missing, NaN or not positive."""
-    j = lookup(df, vix.withColumnRenamed("vix_date", date_col), [date_col], [c for c in ("id", "ticker") if c in df.columns])
+    j = df.join(vix.withColumnRenamed("vix_date", date_col), [date_col], "left")
     bad = F.col("vix").isNull() | F.isnan("vix") | (F.col("vix") <= 0)
     return j.withColumn("vix", F.when(bad, lit(default)).otherwise(F.col("vix")))
 
@@ -96,8 +95,8 @@ def days_to_event(
     away = F.coalesce(F.datediff(ahead, F.col("d")), F.datediff(behind, F.col("d")))
     table = days.select(*group, F.col("d").alias("trade_date"), away.alias(f"days_to_{name}"))
     near = F.coalesce((F.abs(F.col(f"days_to_{name}")) <= within).cast("int"), F.lit(0))
-    return lookup(trades, table, [*group, "trade_date"], ["id"]).withColumn(f"near_{name}", near)
+    return trades.join(table, [*group, "trade_date"], "left").withColumn(f"near_{name}", near)
 
 
 def in_universe(trades: DataFrame, universe: DataFrame) -> DataFrame:
-    return lookup(trades, universe.select("ticker"), ["ticker"], ["id"], "left_semi")
+    return trades.join(universe.select("ticker"), ["ticker"], "left_semi")

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from flowlens.functions.pricing import lit
 from flowlens.operators.joins import label_window
-from flowlens.operators.scale import lookup
 
 LABELS = {
     "labeled": "boolean", "label_success": "int", "observed_return": "double", "max_adverse_return": "double",
@@ -52,7 +51,7 @@ def label_trades(
     call or sold put gains when it rises; everything else, mid prints included, when it
     falls. The outcome per (ticker, day) is computed on the bars, so trades are joined once.
     """
-    j = lookup(trades, label_window(bars, horizon), ["ticker", "trade_date"], ["id"])
+    j = trades.join(label_window(bars, horizon), ["ticker", "trade_date"], "left")
     start = F.col("underlier_price")
     up = ((F.col("option_type") == "Call") & (F.col("side") == "BUY")) | (
         (F.col("option_type") == "Put") & (F.col("side") == "SELL")
@@ -128,7 +127,7 @@ def dedup_12h(
     points = df.groupBy(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")).agg(F.min(id).alias("_id"))
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.where(F.col("_n") > max_group).select(*keys)
-    cold = lookup(points, hot, keys, ["_t"], "left_anti")
+    cold = points.join(hot, keys, "left_anti")
     start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -138,8 +137,8 @@ def dedup_12h(
 
     ordered = F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), F.col("_id").cast("bigint").alias("id"))))
     folded = cold.groupBy(*keys).agg(ordered.alias("a")).select(F.explode(F.aggregate("a", start, step)["kept"]).alias(id))
-    kept = folded.unionByName(_dedup_by_day(lookup(points, hot, keys, ["_t"], "left_semi"), keys, gap, id))
-    return lookup(df, kept, [id], [id], "left_semi")
+    kept = folded.unionByName(_dedup_by_day(points.join(hot, keys, "left_semi"), keys, gap, id))
+    return df.join(kept, [id], "left_semi")
 
 
 def _next_after(t: np.ndarray, gap: int) -> np.ndarray:
@@ -192,5 +191,5 @@ def _dedup_by_day(points: DataFrame, keys: Sequence[str], gap: int, id: str) ->
 
     parts = days.groupBy(*keys, "_day").applyInPandas(summarise, out("_day", "_upto", "_leave"))
     entry = parts.groupBy(*keys).applyInPandas(chain, out("_day", "_after"))
-    started = lookup(days, entry, [*keys, "_day"], ["_t"], "inner")
+    started = days.join(entry, [*keys, "_day"], "inner")
     return started.groupBy(*keys, "_day").applyInPandas(walk, T.StructType([T.StructField(id, T.LongType())]))

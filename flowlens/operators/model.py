@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowlens.functions import signals as sg
 from flowlens.functions.pricing import lit
 from flowlens.operators.features import CATEGORICAL, NUMERIC, encode, impute_encode
-from flowlens.operators.scale import exact_quantiles, lookup, materialize, number_rows, quantiles_of_counts, running_totals
+from flowlens.operators.scale import exact_quantiles, materialize, number_rows, quantiles_of_counts, running_totals
 from flowlens.schemas import QUANTILES
 
 CELL = CATEGORICAL
@@ -32,8 +32,10 @@ def split(df: DataFrame, test_share: float = 0.2, seed: int = 42) -> DataFrame:
 def return_counts(train: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Rows per cell and distinct return. Returns are stored with four decimals, so a cell
     has a limited number of them, and everything after this step is independent of the
-    number of trades."""
-    return train.groupBy(*extra, "cell", F.col("observed_return").alias("y")).agg(F.count(F.lit(1)).alias("c"))
+    number of trades. A return that is NULL or not finite is no observation."""
+    y = F.col("observed_return")
+    known = train.where(y.isNotNull() & ~F.isnan(y) & (F.abs(y) != F.lit(float("inf"))))
+    return known.groupBy(*extra, "cell", y.alias("y")).agg(F.count(F.lit(1)).alias("c"))
 
 
 def with_every(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,7 +56,7 @@ def score(df: DataFrame, cells: DataFrame, keys: Sequence[str] = CELL, min_rows:
     """Add ``q``; cells that are unseen or too small use the quantiles of all rows."""
     own = cells.where((F.col("cell") != EVERY) & (F.col("n") >= min_rows)).select("cell", "q")
     whole = cells.where(F.col("cell") == EVERY).select("q")
-    j = lookup(with_cell(df, keys), own, ["cell"], ["id"])
+    j = with_cell(df, keys).join(own, ["cell"], "left")
     return j.withColumn("q", F.coalesce("q", whole.scalar()))
 
 
@@ -129,7 +131,7 @@ def cv_auc(df: DataFrame, k: int = 5, threshold: float = 0.03, keys: Sequence[st
     model = materialize(quantiles_of_counts(with_every(counts, ["fold", "cell", "y"]), ["fold", "cell"], "y", QUANTILES))
     own = model.where((F.col("cell") != EVERY) & (F.col("n") >= min_rows)).select("fold", "cell", "q")
     whole = model.where(F.col("cell") == EVERY).select("fold", F.col("q").alias("_all"))
-    x = lookup(lookup(folds, own, ["fold", "cell"], ["id"]), whole, ["fold"], ["id"])
+    x = folds.join(own, ["fold", "cell"], "left").join(whole, ["fold"], "left")
     return roc_auc(x.withColumn("q", F.coalesce("q", "_all")), threshold, ["fold"])
 
 

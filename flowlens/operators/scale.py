@@ -1,9 +1,10 @@
 """Shared building blocks that keep the operators distributed.
 
-Three problems come back in this library: joining a large table to a keyed one whose
-keys are very uneven, numbering rows in a total order, and order statistics (running
-totals by value, quantiles) of groups that may hold a large part of the table. Each has
-one solution here, and none of them puts a whole group into one task.
+Two problems come back in this library: numbering rows in a total order, and order
+statistics (running totals by value, quantiles) of groups that may hold a large part of the
+table. Each has one solution here, and none of them puts a whole group into one task.
+Joins on uneven keys are plain equi-joins: Spark broadcasts what is small at run time and
+splits skewed partitions (adaptive execution).
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowlens.session import scratch_path
 
-SALTS = 16
-
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from the table.
@@ -28,34 +27,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate lies under its broadcast threshold."""
-    spark = df.sparkSession
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower()
-    limit_bytes = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)) \
-        if not limit.lstrip("-").isdigit() else int(limit)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 0 <= size <= limit_bytes
-
-
-def lookup(
-    big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", salts: int = SALTS
-) -> DataFrame:
-    """Join ``big`` to ``small`` (one row per key, or a semi/anti side) on equal keys.
-
-    When the estimate of ``small`` is under the broadcast threshold the plain join is
-    returned and Spark broadcasts it. Otherwise the rows of one key are split over
-    ``salts`` tasks: ``big`` gets a salt from the ``spread`` columns (stable under task
-    retries, unlike ``rand``) and ``small`` is repeated once per salt.
-    """
-    on = list(on)
-    if fits_broadcast(small):
-        return big.join(small, on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
-
-
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "idx", slices: int | None = None) -> DataFrame:
     """0-based position of every row in the total order ``order``.
 

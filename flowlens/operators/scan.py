@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowlens.functions import quotes as q
 from flowlens.operators.joins import asof_price
-from flowlens.operators.scale import lookup
 
 SNAPSHOT = ["ticker", "snapshot_date"]
 QUOTE = ["expiration", "strike", "option_type"]
@@ -27,7 +26,7 @@ def offhours_volume(chain: DataFrame) -> DataFrame:
     """Open interest stands in for volume where a ticker's whole snapshot has no volume."""
     seen = chain.groupBy(*SNAPSHOT).agg(F.max("volume").alias("_vol"), F.max("open_interest").alias("_oi"))
     closed = seen.where((F.coalesce("_vol", F.lit(0)) <= 0) & (F.col("_oi") > 0)).select(*SNAPSHOT, F.lit(True).alias("_closed"))
-    j = lookup(chain, closed, SNAPSHOT, QUOTE)
+    j = chain.join(closed, SNAPSHOT, "left")
     volume = F.when(F.col("_closed"), F.col("open_interest")).otherwise(F.col("volume"))
     return j.withColumn("volume", volume).drop("_closed")
 
@@ -63,7 +62,7 @@ def expected_move(chain: DataFrame, bars: DataFrame, order: Sequence[str] = ("bi
     missing leg or quote gives 0. ``order`` decides between several quotes of one contract.
     """
     front = chain.groupBy(*SNAPSHOT).agg(F.min("expiration").alias("expiration"))
-    quotes = lookup(chain, front, [*SNAPSHOT, "expiration"], QUOTE + list(order), "left_semi")
+    quotes = chain.join(front, [*SNAPSHOT, "expiration"], "left_semi")
     near = quotes.groupBy(*SNAPSHOT, *QUOTE).agg(F.min_by(F.struct("bid", "ask"), F.struct(*order)).alias("quote"))
     near = asof_price(near, bars.select("ticker", "bar_date", "close"), "snapshot_date", ("strike", "option_type"))
     call = F.col("option_type") == "Call"
@@ -107,8 +106,8 @@ def scan(
     quotes = offhours_volume(coerce_numeric(chain))
     flow = quote_columns(unusual(with_ratio(quotes), min_vol_oi))
     moves = expected_move(chain, bars, order).select(*SNAPSHOT, F.col("spot").alias("underlier_price"), "expected_move")
-    flow = lookup(flow.drop("underlier_price"), moves, SNAPSHOT, QUOTE)
-    flow = lookup(flow, flags.select("ticker", "above50", "above200"), ["ticker"], [*QUOTE, "snapshot_date"])
+    flow = flow.drop("underlier_price").join(moves, SNAPSHOT, "left")
+    flow = flow.join(flags.select("ticker", "above50", "above200"), ["ticker"], "left")
     upper, lower = q.move_bounds()
     return flow.withColumns(
         {"trend_alignment": q.trend_contextual(), "expected_move_upper": upper, "expected_move_lower": lower}

@@ -67,7 +67,7 @@ def sweep_score(summary: DataFrame) -> DataFrame:
 def sweep_winner(scored: DataFrame) -> DataFrame:
     """Best run per strategy: enough trades and profit first, then fewer trades, then any."""
     tier = F.when((F.col("trades") >= 20) & (F.col("pnl_pct") > 0), 1).when(F.col("trades") >= 10, 2).otherwise(3)
-    order = W.partitionBy("strategy_type").orderBy("tier", F.desc("score"), "run_id")  # at most MAX_RUNS rows
+    order = W.partitionBy("strategy_type").orderBy("tier", F.desc("score"), "run_id")  # one row per set
     x = scored.withColumn("tier", tier)
     return x.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1).drop("_r")
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window as W, WindowSpec, functions as F
 
 from flowlens.functions.pricing import lit
 from flowlens.functions.quotes import round_to
-from flowlens.operators.scale import lookup
 
 ANNUAL = math.sqrt(252.0)
 
@@ -178,7 +177,7 @@ def iv_smile(chain: DataFrame, n: int = 2) -> DataFrame:
     rank = F.row_number().over(W.partitionBy(*key).orderBy("expiration"))
     front = dates.withColumn("_r", rank).where(F.col("_r") <= n).select(*key, "expiration")
     quotes = chain.where((F.col("implied_vol") > 0) & (F.col("implied_vol") < 5))
-    near = lookup(quotes, front, [*key, "expiration"], ["strike", "option_type", "implied_vol"], "left_semi")
+    near = quotes.join(front, [*key, "expiration"], "left_semi")
     return near.select(*key, "expiration", "strike", "option_type", round_to(F.col("implied_vol") * 100, 2).alias("iv"))
 
 

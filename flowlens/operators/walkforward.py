@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from flowlens.functions import signals as sg
 from flowlens.functions.pricing import lit
 from flowlens.operators.model import CELL, EVERY, MIN_ROWS, return_counts, score, with_cell, with_every
-from flowlens.operators.scale import lookup, materialize, number_rows
+from flowlens.operators.scale import materialize, number_rows
 from flowlens.schemas import QUANTILES
 
+BLOCK = 16  # folds
+
 
 def folds(trades: DataFrame, train: int = 500, increment: int = 500) -> DataFrame:
     """Rows in time order with ``idx`` and ``fold``; the first ``train`` rows have fold -1.
@@ -46,10 +48,24 @@ def with_available(rows: DataFrame, purge: bool = False) -> DataFrame:
     per_day = days.unionByName(marks).groupBy("evaluation_date").agg(F.sum("k").alias("k"))
     begun = F.sum("k").over(W.orderBy("evaluation_date").rowsBetween(W.unboundedPreceding, 0))  # one row per day
     settled = per_day.select("evaluation_date", begun.cast("int").alias("_settled"))
-    j = lookup(rows, settled, ["evaluation_date"], ["id"])
+    j = rows.join(settled, ["evaluation_date"], "left")
     return j.withColumn("avail", F.greatest(F.col("fold") + 1, F.coalesce("_settled", F.lit(0)))).drop("_settled")
 
 
+def counts_at(h: DataFrame, wanted: DataFrame, n_folds) -> DataFrame:
+    """(cell, fold, b, below, n, y, c): counts of each value of the wanted steps, of rows available at the fold."""
+    blocks = h.groupBy("cell", "b", "y", F.floor(F.col("avail") / BLOCK).alias("_k")).agg(F.sum("c").alias("c"))
+    by_value = W.partitionBy("cell", "b", "y").orderBy("_k")
+    last = F.coalesce(F.lead("_k").over(by_value), F.floor((n_folds - 1) / BLOCK))
+    held = blocks.select("cell", "b", "y", "_k", F.sum("c").over(by_value.rowsBetween(W.unboundedPreceding, 0)).alias("c"), last.alias("_to"))
+    before = held.where("_to > _k").select("cell", "b", "y", "c", F.explode(F.sequence(F.col("_k") + 1, "_to")).alias("_block"))
+    within = h.select("cell", "b", F.floor(F.col("avail") / BLOCK).alias("_block"), "avail", "y", "c")
+    keys = ["cell", "b", "_block"]
+    cols = ["cell", "fold", "b", "below", "n", "y"]
+    met = wanted.join(before, keys).select(*cols, "c").unionByName(wanted.join(within, keys).where(F.col("avail") <= F.col("fold")).select(*cols, "c"))
+    return met.groupBy(*cols).agg(F.sum("c").alias("c"))
+
+
 def expanding_quantiles(counts: DataFrame, n_folds, probs: Sequence[float] = QUANTILES, grid: float = 0.01) -> DataFrame:
     """Exact quantiles of all rows with ``avail`` <= fold, per cell, for every fold.
 
@@ -57,6 +73,11 @@ def expanding_quantiles(counts: DataFrame, n_folds, probs: Sequence[float] = QUA
     cost rows x folds / 2. Instead the values are put on a coarse grid: running counts per
     grid step tell in which step each quantile of each fold lies, and only the values of
     those steps are counted per fold. The all-rows cell is dense, so its grid is finer.
+
+    The counts of a step at a fold are those before the fold's block of ``BLOCK`` folds, one
+    row per distinct value, and the few inside the block. So a row meets at most ``BLOCK``
+    folds and a fold the distinct values of a step: the work grows with rows and folds, not
+    with their product.
     """
     width = F.when(F.col("cell") == EVERY, lit(grid / 5)).otherwise(lit(grid))
     h = counts.withColumn("b", F.floor(F.col("y") / width).cast("bigint"))
@@ -78,8 +99,8 @@ def expanding_quantiles(counts: DataFrame, n_folds, probs: Sequence[float] = QUA
     for r in ends:
         needed = needed | ((F.col("below") <= r) & (r < F.col("below") + F.col("here")))
     wanted = dense.where((F.col("n") > 0) & needed).select("cell", "fold", "b", "below", "n")
-    fine = wanted.join(h.select("cell", "b", "avail", "y", "c"), ["cell", "b"]).where(F.col("avail") <= F.col("fold"))
-    fine = fine.groupBy("cell", "fold", "b", "below", "n", "y").agg(F.sum("c").alias("c"))
+    wanted = wanted.withColumn("_block", F.floor(F.col("fold") / BLOCK))
+    fine = counts_at(h, wanted, n_folds)
     inside = W.partitionBy("cell", "fold", "b").orderBy("y").rowsBetween(W.unboundedPreceding, 0)
     fine = fine.withColumn("_to", F.col("below") + F.sum("c").over(inside)).withColumn("_from", F.col("_to") - F.col("c"))
 
@@ -98,12 +119,17 @@ def expanding_quantiles(counts: DataFrame, n_folds, probs: Sequence[float] = QUA
 def expanding_sketches(counts: DataFrame, rows: DataFrame, n_folds, probs: Sequence[float] = QUANTILES) -> DataFrame:
     """Approximate variant: one KLL sketch per (cell, avail), merged over the earlier ones.
 
-    ``rows`` holds cell, avail and y per trade; ``counts`` only names the cells.
+    Sketches are merged into spans of 1, 2, 4, ... folds; the folds up to a given one are the
+    spans of the binary digits of their number. A sketch and a fold take part in log2(folds)
+    merges. ``rows`` holds cell, avail and y per trade; ``counts`` only names the cells.
     """
-    sketches = rows.groupBy("cell", "avail").agg(F.expr("kll_sketch_agg_double(y)").alias("s"))
-    later = F.explode(F.sequence(F.col("avail"), n_folds - 1)).alias("fold")
-    spread = sketches.where(F.col("avail") < n_folds).select("cell", "s", later)
-    merged = spread.groupBy("cell", "fold").agg(F.expr("kll_merge_agg_double(s)").alias("s"))
+    sketches = rows.groupBy("cell", "avail").agg(F.expr("kll_sketch_agg_double(y)").alias("s")).where(F.col("avail") < n_folds)
+    levels = F.explode(F.sequence(F.lit(0), F.ceil(F.log2(n_folds + 1)).cast("int"))).alias("level")
+    spans = sketches.select("cell", "avail", "s", levels).groupBy("cell", "level", F.expr("shiftright(avail, level)").alias("span"))
+    spans = spans.agg(F.expr("kll_merge_agg_double(s)").alias("s"))
+    folds_ = counts.select("cell").distinct().withColumn("fold", F.explode(F.sequence(F.lit(0), n_folds - 1)))
+    digits = folds_.select("cell", "fold", levels).where("shiftright(fold + 1, level) % 2 = 1").withColumn("span", F.expr("shiftright(fold + 1, level) - 1"))
+    merged = digits.join(spans, ["cell", "level", "span"]).groupBy("cell", "fold").agg(F.expr("kll_merge_agg_double(s)").alias("s"))
     q = ", ".join(f"kll_sketch_get_quantile_double(s, cast({p} as double))" for p in probs)
     return merged.select("cell", "fold", F.expr("kll_sketch_get_n_double(s)").alias("n"), F.expr(f"array({q})").alias("q"))
 
@@ -146,7 +172,7 @@ def walkforward_predict(
     """Out-of-sample quantiles and success probability of all tested rows."""
     models = walkforward_models(rows, purge, keys, min_rows, method)
     tested = with_cell(rows.where(F.col("fold") >= 0), keys)
-    j = lookup(tested, models, ["fold", "cell"], ["id"])
+    j = tested.join(models, ["fold", "cell"], "left")
     return j.withColumn("q", sg.monotonic("q")).withColumn("p_success", sg.p_success("q", target))
 
 

@@ -488,8 +488,8 @@ BODIES = {
  select snapshot_date, avg(vol_oi_ratio) as a, max(vol_oi_ratio) as m, cast(coalesce(sum(volume) filter (option_type = 'Call'), 0) as bigint) as call_volume,
   cast(coalesce(sum(volume) filter (option_type <> 'Call'), 0) as bigint) as put_volume, count(*) filter (vol_oi_ratio >= 5) as whale_count from ratioed where vol_oi_ratio >= 2 group by all)""",
     "pcr_by_expiration": f"select ticker, {d('snapshot_date', 'expiration')}, {PCR} from {expiries(10)}",
-    "pcr_pivot": f"""select {d('snapshot_date', 'expiration')}, {', '.join(f"coalesce(max(r) filter (ticker = '{t}'), -1) as {t.lower()}" for t in reg.TICKERS[:3])}
- from (select *, {PCR.replace('put_call_ratio', 'r')} from {expiries(10)}) where ticker in ('T00', 'T01', 'T02') group by snapshot_date, expiration""",
+    "pcr_pivot": f"""select {d('snapshot_date', 'expiration')}, {', '.join(f"coalesce(max(r) filter (ticker = '{t}'), -1) as {t.lower()}" for t in reg.TICKERS)}
+ from (select *, {PCR.replace('put_call_ratio', 'r')} from {expiries(10)}) where ticker in ({', '.join(repr(t) for t in reg.TICKERS)}) group by snapshot_date, expiration""",
     "volume_concentration": f"select ticker, {d('snapshot_date', 'expiration')}, call_volume, put_volume, call_volume + put_volume as total_volume from {expiries(8)}",
     "trade_stats": """select count(*) as total_trades, count(*) filter (labeled) as labeled_trades, count(*) filter (labeled and observed_return >= 0.03) as successful_trades,
  round(count(*) filter (labeled and observed_return >= 0.03) / cast(greatest(count(*) filter (labeled), 1) as double), 4) as success_ratio from labeled""",
@@ -685,8 +685,7 @@ BODIES = {
     "stream_scan_summary": f"""select {ts('window_start')}, {half_up('a', 2)} as avg_vol_oi, m as max_vol_oi, call_volume, put_volume, {PCR}, whale_count from (
  select timestamp '1970-01-01' + to_days(cast(30 * ((ts::date - date '1970-01-01') // 30) as int)) as window_start, avg(vol_oi_ratio) as a, max(vol_oi_ratio) as m,
  cast(coalesce(sum(volume) filter (option_type = 'Call'), 0) as bigint) as call_volume, cast(coalesce(sum(volume) filter (option_type <> 'Call'), 0) as bigint) as put_volume,
- count(*) filter (vol_oi_ratio >= 5) as whale_count from raw group by 1)
- where window_start + interval 30 day <= (select max(ts) from raw) - interval 1 day""",
+ count(*) filter (vol_oi_ratio >= 5) as whale_count from raw group by 1)""",
 }
 
 

@@ -14,7 +14,7 @@ from flowlens.functions import pricing as px, quotes as q, signals as sg
 from flowlens.operators import audit, backtest as bt, features as ft, joins, labels as lb, model as md
 from flowlens.operators import paths, scan as sc, sweep as sw, validate as va, vol, walkforward as wf
 from flowlens.operators.scale import materialize
-from flowlens.session import scratch_path
+from flowlens.session import ROCKSDB, scratch_path
 from flowlens.sources import adapters as ad, tables as tb
 from flowlens.streaming import flow as st
 
@@ -140,8 +140,8 @@ def book(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def sized(s: SparkSession, d: str) -> DataFrame:
-    pairs = bt.params_cross(predictions(s, d), params(s))
-    return bt.size(bt.liquidity(bt.eligible(pairs, lb.tier_a(labeled(s, d)))))
+    x = bt.candidates(bt.with_tier(predictions(s, d), lb.tier_a(labeled(s, d))), params(s))
+    return bt.size(bt.liquidity(bt.eligible(bt.params_cross(x, params(s)))))
 
 
 def swept(s: SparkSession, d: str) -> DataFrame:
@@ -359,8 +359,8 @@ def pcr_by_expiration(s, d):
 
 
 def pcr_pivot(s, d):
-    x = sc.pcr_pivot(sc.pcr_by_expiration(chain(s, d)), TICKERS[:3])
-    return x.select(day("snapshot_date"), day("expiration"), *[F.coalesce(t, F.lit(-1.0)).alias(t.lower()) for t in TICKERS[:3]])
+    x = sc.pcr_pivot(sc.pcr_by_expiration(chain(s, d)), TICKERS)
+    return x.select(day("snapshot_date"), day("expiration"), *[F.coalesce(t, F.lit(-1.0)).alias(t.lower()) for t in TICKERS])
 
 
 def volume_concentration(s, d):
@@ -697,7 +697,8 @@ def in_sample_predict(s, d):
 def _eligible(*names):
     def query(s, d):
         sets = bt.params_frame(s, [x for x in SETS if x["strategy_type"] in names])
-        x = bt.eligible(bt.params_cross(predictions(s, d), sets), lb.tier_a(labeled(s, d), 0.10, 10, 0.27))
+        x = bt.candidates(bt.with_tier(predictions(s, d), lb.tier_a(labeled(s, d), 0.10, 10, 0.27)), sets)
+        x = bt.eligible(bt.params_cross(x, sets))
         return x.select("p.run_id", "p.strategy_type", "id")
 
     return query
@@ -885,18 +886,18 @@ def _stream(s: SparkSession, d: str, table: str) -> DataFrame:
 def stream_whale_log(s, d):
     """Orders read as a stream; ticker, type and side repeat often enough for the 12-hour rule."""
     path, checkpoint = scratch_path(s, "whale-log"), scratch_path(s, "whale-state")
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # for sessions made elsewhere
     run = st.stream_whale_log(ad.raw_trades(_stream(s, d, "orders")), path, checkpoint, ("ticker", "option_type", "side"))
     run.awaitTermination()
     return s.read.parquet(path).select("id", "ticker", "option_type", "side", "vol_oi_ratio", moment("ts"))
 
 
 def stream_scan_summary(s, d):
-    """Summary per 30 days of the order stream; windows that may still change are not emitted."""
+    """Summary per 30 days of the order stream, open windows included."""
     out, checkpoint = scratch_path(s, "summary"), scratch_path(s, "summary-state")
     x = st.stream_summary(ad.raw_trades(_stream(s, d, "orders")), "30 days", "1 day")
-    run = x.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
-    run.trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(out).select(moment("window_start"), *SUMMARY_COLS)
+    st.write_summary(x, out, checkpoint).awaitTermination()
+    return st.latest_summary(s, out).select(moment("window_start"), *SUMMARY_COLS)
 
 
 QUERIES = {

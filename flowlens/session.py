@@ -7,14 +7,20 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Streams with state of their own need this store.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def get_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "flowlens") -> SparkSession:
-    """A UTC session. On a cluster leave ``master`` and the partition count to spark-submit."""
+
+def get_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "flowlens") -> SparkSession:
+    """A UTC session. Where ``master`` and the partition count are not given, spark-submit decides."""
+    builder = SparkSession.builder.appName(app)
+    if master is not None:
+        builder = builder.master(master)
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (
-        SparkSession.builder.master(master)
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.session.timeZone", "UTC")
+        builder.config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")

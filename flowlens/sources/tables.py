@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql import types as T
 
 from flowlens import schemas
-from flowlens.operators.scale import lookup, number_rows
+from flowlens.operators.scale import number_rows
 
 TRADE_KEY = ("ts", "ticker", "strike", "option_type", "ensemble_id")
 
@@ -57,7 +57,7 @@ def select_expirations(chain: DataFrame, lo: int = 0, hi: int = 90, n: int = 6,
         .where(F.when(F.col("_any"), F.col("_in") & (F.col("_r") <= n)).otherwise(F.col("_ra") <= fallback))
         .select(*key, "expiration")
     )
-    return lookup(chain, kept, [*key, "expiration"], ["strike", "option_type", "volume"], "left_semi")
+    return chain.join(kept, [*key, "expiration"], "left_semi")
 
 
 def scan_trades(trades: DataFrame, synthetic: bool | None = None, **equal) -> DataFrame:
@@ -93,21 +93,20 @@ def with_defaults(trades: DataFrame) -> DataFrame:
     return trades.select(*cols)
 
 
-def append_trades(trades: DataFrame, path: str, partition: str = "trade_date", spread: Sequence[str] = ("id",)) -> None:
+def append_trades(trades: DataFrame, path: str, partition: str = "trade_date") -> None:
     """Append to the partitioned trade table.
 
-    Rows of one date go to several writers, so a very busy date is not one task.
+    Rows are rebalanced by date: Spark splits a busy date by its real size and joins quiet ones.
     """
     full = with_defaults(trades)
     unit = F.to_date("ts") if partition == "trade_date" else F.to_date(F.date_trunc("month", "ts"))
-    full = full.withColumn(partition, unit).withColumn("_w", F.pmod(F.xxhash64(*spread), F.lit(4)))
-    full.repartition(partition, "_w").drop("_w").write.mode("append").partitionBy(partition).parquet(path)
+    full.withColumn(partition, unit).hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
 
 
 def append_new(incoming: DataFrame, existing: DataFrame, keys: Sequence[str] = TRADE_KEY) -> DataFrame:
     """The rows of ``incoming`` whose key is not stored yet."""
     stored = existing.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    return lookup(incoming, stored, keys, ["id"], "left_anti")
+    return incoming.join(stored, list(keys), "left_anti")
 
 
 def sanitize(df: DataFrame) -> DataFrame:

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from flowlens.functions import quotes as q
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 class KeepFirst(StatefulProcessor):
     """State of a key: the instant (microseconds) of the last row that was kept."""
@@ -27,15 +26,15 @@ class KeepFirst(StatefulProcessor):
         # rows of one key in one batch; they may come in any order
         batch = pd.concat(list(rows)).sort_values(["instant", "order_id"], kind="stable")
         last = self.last.get()[0] if self.last.exists() else None
-        keep, moved = [], False
-        for t in batch["instant"].tolist():
-            ok = last is None or t - last > self.gap
-            keep.append(ok)
-            if ok:
-                last, moved = t, True
-        if moved:
+        at = batch["instant"].to_numpy()
+        kept, i = [], 0 if last is None else int(np.searchsorted(at, last + self.gap, "right"))
+        while i < len(at):  # from one kept row to the next one that is more than the gap later
+            kept.append(i)
+            last = int(at[i])
+            i = int(np.searchsorted(at, last + self.gap, "right"))
+        if kept:
             self.last.update((last,))
-        yield batch.loc[keep, self.columns]
+        yield batch.iloc[kept][self.columns]
 
     def close(self) -> None:
         pass
@@ -46,8 +45,8 @@ def dedup_stream(rows: DataFrame, keys: Sequence[str], ts: str = "ts", id: str =
 
     Same-instant repeats of a key are dropped by the state as well. The state holds one
     number per key; limit the files per trigger to bound the rows a key brings at once.
+    The session needs the RocksDB state store (``session.get_session`` sets it).
     """
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     x = rows.withColumns({"instant": F.unix_micros(F.col(ts).cast("timestamp")), "order_id": F.col(id)})
     gap = int(hours * 3_600_000_000)
     return x.groupBy(*keys).transformWithStateInPandas(
@@ -71,8 +70,25 @@ def stream_whale_log(trades: DataFrame, path: str, checkpoint: str, keys: Sequen
     )
 
 
+def write_summary(summary: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append every new state of the windows, with the number of its batch; reads what is there, then stops."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(path)
+
+    return summary.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+
+
+def latest_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The last state of every window, also of those still open; a batch that was written twice counts once."""
+    rows = spark.read.parquet(path)
+    names = [c for c in rows.columns if c not in ("window_start", "batch")]
+    last = rows.groupBy("window_start").agg(F.max_by(F.struct(*names), "batch").alias("s"))
+    return last.select("window_start", "s.*")
+
+
 def stream_summary(flow: DataFrame, every: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Scan summary per time window of a flow stream with ``ts``; emitted once a window closes."""
+    """Scan summary per time window of a flow stream with ``ts``."""
     call, volume = F.col("option_type") == "Call", F.col("volume").cast("bigint")
     timed = flow.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     s = timed.groupBy(F.window("ts", every).alias("w")).agg(

@@ -73,7 +73,7 @@ def main() -> None:
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
     oracle, queries = entry.oracle_sql(), entry.queries()
-    spark, con = get_session(), duck(sf_dir)
+    spark, con = get_session("local[8]", 8), duck(sf_dir)
     for n in names or queries:
         t = time.time()
         try:

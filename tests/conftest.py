@@ -9,7 +9,7 @@ sys.path.insert(0, __file__.rsplit("/", 2)[0])
 def spark():
     from flowlens.session import get_session
 
-    return get_session(shuffle_partitions=4)
+    return get_session("local[8]", 4)
 
 
 @pytest.fixture(scope="session")

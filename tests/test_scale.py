@@ -8,16 +8,6 @@ from flowlens.operators import joins, labels as lb, scale, walkforward as wf
 from flowlens.operators.model import EVERY
 
 
-def test_lookup_salted_equals_plain(spark, no_broadcast):
-    big = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"))
-    small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    assert not scale.fits_broadcast(small)
-    for how in ("left", "inner", "left_semi", "left_anti"):
-        got = scale.lookup(big, small, ["k"], ["id"], how)
-        want = big.join(small, ["k"], how)
-        assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
-
-
 def test_number_rows_with_one_dominant_key(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 11).alias("k"))
     rows = scale.number_rows(df, ["k", "id"], slices=7).collect()
