@@ -216,27 +216,32 @@ def _table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int, once: bool) -> DataFrame:
-    """Pairs of different components in both posting lists, after length, positional and suffix filter, each once."""
-    names = ("fp", "n", "rare", "place", "spans", "comp")
+def _pairs(left: DataFrame, right: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs of different components in both posting lists, after length, positional and suffix filter, each once.
+
+    ``every``: all pairs of the lists, each where its first common shingle is; else those of a leader and a member.
+    """
+    names = ("node", "n", "rare", "place", "spans", "comp", *(("listed",) if every else ()))
     a, b = (df.select("token", *[F.col(c).alias(f"{c}_{side}") for c in names]) for df, side in ((left, "a"), (right, "b")))
     # The least overlap of two linked sets: ceil(t (na + nb) / (1 + t)).
     need = F.expr(f"({percent} * (n_a + n_b) + {percent} + 99) div ({percent} + 100)")
     common = F.aggregate(F.zip_with("spans_a", "spans_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    first = F.element_at(F.array_intersect("listed_a", "listed_b"), 1) == F.col("token") if every else F.lit(True)
     met = a.join(b, "token").where(
-        ((F.col("comp_a") < F.col("comp_b")) if once else (F.col("comp_a") != F.col("comp_b")))
+        ((F.col("comp_a") < F.col("comp_b")) if every else (F.col("comp_a") != F.col("comp_b")))
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         # Shingles that one set alone holds come first and are never common.
         & (F.least(F.col("place_a") - F.col("rare_a"), F.col("place_b") - F.col("rare_b")) + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need)
         & (common >= need)
+        & first
     )
-    return met.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked)."""
-    one = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", (100 * both >= percent * (F.col("na") + F.col("nb") - both)).alias("linked"))
 
@@ -258,33 +263,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _merged(comps: DataFrame, linked: DataFrame) -> DataFrame:
-    """(fp, comp) of all sets after more links."""
-    of = lambda c: linked.select("a", "b").join(comps.select(F.col("fp").alias(c), F.col("comp").alias(f"c{c}")), c)
-    ab = of("a").join(comps.select(F.col("fp").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    """(node, comp) of all sets after more links."""
+    of = lambda c: linked.select("a", "b").join(comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")), c)
+    ab = of("a").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     roots = components(ab)
-    return _table(comps.join(roots.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("fp", F.coalesce("root", "comp").alias("comp")), "comps")
+    return _table(comps.join(roots.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "comps")
 
 
 def _linked_components(sets: DataFrame, percent: int) -> DataFrame:
-    """(fp, comp) of the sets of ``sets``."""
-    tokens = sets.select("fp", F.explode("tokens").alias("token"))
+    """(node, comp) of the sets of ``sets``."""
+    tokens = sets.select("node", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = tokens.join(often, "token").groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("known"))
+    ordered = tokens.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("known"))
     rare = F.col("n") - F.size("known")
     length = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
-    found = ordered.join(sets.select("fp", "n", "spans"), "fp").withColumn("room", (length - rare).cast("int")).where("room > 0")
-    found = found.select("fp", "n", "spans", rare.alias("rare"), F.posexplode(F.slice("known", F.lit(1), F.col("room"))).alias("i", "x"))
-    postings = _table(found.select(F.col("x.token").alias("token"), "fp", "n", "rare", "spans", (F.col("rare") + F.col("i")).alias("place")), "postings")
-    comps = _table(postings.select("fp", F.col("fp").alias("comp")).distinct(), "comps")
+    found = ordered.join(sets.select("node", "n", "spans"), "node").withColumn("room", (length - rare).cast("int")).where("room > 0")
+    found = found.select("node", "n", "spans", rare.alias("rare"), F.posexplode(F.slice("known", F.lit(1), F.col("room"))).alias("i", "x"))
+    postings = _table(found.select(F.col("x.token").alias("token"), "node", "n", "rare", "spans", (F.col("rare") + F.col("i")).alias("place")), "postings")
+    comps = _table(postings.select("node", F.col("node").alias("comp")).distinct(), "comps")
     tried: DataFrame | None = None
     stars = True
     for turn in range(STAR_ROUNDS + 1):
-        listed = postings.join(comps, "fp")
+        listed = postings.join(comps, "node")
         # The set with the fewest shingles of its own is the likeliest centre of a group.
-        leads = F.min_by(F.struct("fp", "n", "rare", "place", "spans", "comp"), F.struct("rare", F.xxhash64("fp", F.lit(turn)))).alias("lead")
+        leads = F.min_by(F.struct("node", "n", "rare", "place", "spans", "comp"), F.struct("rare", F.xxhash64("node", F.lit(turn)))).alias("lead")
         open_ = listed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), leads).where("c1 <> c2")
         rest = listed.join(open_.select("token"), "token", "left_semi")
         last = not stars or turn == STAR_ROUNDS
+        if last:
+            # Shingles of a set's open lists, in the common order.
+            own = rest.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x.token).alias("listed"))
+            rest = rest.join(own, "node")
         pairs = _pairs(rest, rest, percent, True) if last else _pairs(open_.select("token", "lead.*"), rest, percent, False)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -311,10 +320,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     per_range = max(64, min(FILTER_BITS, max(1 << 20, total)) // ranges // 8 * 8)
     bits = repeated_filter(docs, text, size, ranges, per_range)
     sets = _suspects(docs, text, size, percent, bits, ranges, per_range).groupBy("fp").agg(F.first("n").alias("n"), F.first("spans").alias("spans"), F.first("tokens").alias("tokens"))
-    comps = _linked_components(_table(sets, "sets"), percent)
-    named = rows.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    least = named.where("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
-    return named.join(least, "comp", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    sets = _table(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    comps = sets.select("fp", "node").join(_linked_components(sets, percent), "node", "left").select("fp", F.coalesce("comp", "node").alias("comp"))
+    # A text whose set is not in that table is linked with nothing.
+    named = rows.join(comps, "fp", "left")
+    least = named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
+    one = F.when(F.col("comp").isNotNull(), F.col("least")).otherwise(F.col("id"))
+    return named.join(least, "comp", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), one.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
