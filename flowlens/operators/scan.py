@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowlens.functions import quotes as q
 from flowlens.operators.joins import asof_price
+from flowlens.sources.tables import select_expirations
 
 SNAPSHOT = ["ticker", "snapshot_date"]
 QUOTE = ["expiration", "strike", "option_type"]
@@ -102,7 +103,11 @@ def atm_pairs(chain: DataFrame, order: Sequence[str] = ("bid", "ask")) -> DataFr
 def scan(
     chain: DataFrame, bars: DataFrame, flags: DataFrame, min_vol_oi: float = 8.0, order: Sequence[str] = ("bid", "ask")
 ) -> DataFrame:
-    """The whole scan. ``flags`` holds above50 / above200 per ticker (operator ``sma_flags``)."""
+    """The whole scan, of the nearest expirations only: the off-hours rule, the ratio and the moves see no others.
+
+    ``flags`` holds above50 / above200 per ticker (operator ``sma_flags``).
+    """
+    chain = select_expirations(chain)
     quotes = offhours_volume(coerce_numeric(chain))
     flow = quote_columns(unusual(with_ratio(quotes), min_vol_oi))
     moves = expected_move(chain, bars, order).select(*SNAPSHOT, F.col("spot").alias("underlier_price"), "expected_move")

@@ -168,6 +168,13 @@ BLOCKS = {
   cast(snap as timestamp) + to_seconds(l_orderkey % 86400) as last_trade_ts, l_orderkey as k1, l_linenumber as k2, c as k3 from x""",
     "ratioed": f"""select *, {RATIO} as vol_oi_ratio from (select * replace (case when max(volume) over w <= 0 and max(open_interest) over w > 0
   then open_interest else volume end as volume) from chain window w as (partition by ticker, snapshot_date)) where volume > 0""",
+    "near": """select c.* from chain c join (select ticker, snapshot_date, expiration from (
+  select *, row_number() over (partition by ticker, snapshot_date, inside order by expiration) as r,
+   row_number() over (partition by ticker, snapshot_date order by expiration) as ra, max(inside) over (partition by ticker, snapshot_date) as anyin from (
+   select distinct ticker, snapshot_date, expiration, expiration - snapshot_date between 0 and 90 as inside from chain))
+  where case when anyin then inside and r <= 6 else ra <= 4 end) s using (ticker, snapshot_date, expiration)""",
+    "near_ratioed": f"""select *, {RATIO} as vol_oi_ratio from (select * replace (case when max(volume) over w <= 0 and max(open_interest) over w > 0
+  then open_interest else volume end as volume) from near window w as (partition by ticker, snapshot_date)) where volume > 0""",
     "labeled": f"""with w as (select t.id, max_by(b.close, b.bar_date) as settle, min(b.close) as low, max(b.close) as high
    from trades t join bars b on t.ticker = b.ticker and b.bar_date between t.trade_date and t.trade_date + 10 group by t.id),
  g as (select t.*, w.settle is not null and t.ts <= {AS_OF} - interval 10 day as labeled,
@@ -262,7 +269,7 @@ BLOCKS = {
    join s using (ticker, snapshot_date) where cm is not null and spot is not null group by all)
  select s.ticker, s.snapshot_date, s.spot, a.atm[1] as atm_strike, {half_up('coalesce(a.atm[2], 0)', 2)} as expected_move
  from s left join a on s.ticker = a.ticker and s.snapshot_date = a.snapshot_date""",
-    "flow": f"""select r.*, m.spot as underlier_price, coalesce(m.expected_move, 0) as expected_move, f.above50, f.above200 from ratioed r
+    "flow": f"""select r.*, m.spot as underlier_price, coalesce(m.expected_move, 0) as expected_move, f.above50, f.above200 from near_ratioed r
  left join moves m using (ticker, snapshot_date) left join flags f using (ticker) where vol_oi_ratio >= 2""",
     "grid": """select t.*, v.vix, o.option_type, o.mult, d.dte,
   floor(close * mult / case when close > 200 then 5 when close > 50 then 2.5 else 1 end + 0.5)
@@ -674,7 +681,7 @@ BODIES = {
     "topk_unusual": f"""select ticker, {d('snapshot_date', 'expiration')}, strike, option_type, vol_oi_ratio, {half_up('volume * last_price * 100', 2)} as premium,
  case when bid = ask then 'MID' when last_price >= ask then 'BUY' when last_price <= bid then 'SELL' when last_price > (bid + ask) / 2 then 'BUY'
  when last_price < (bid + ask) / 2 then 'SELL' else 'MID' end as side, {K} from (
- select * from ratioed order by vol_oi_ratio desc, ticker, snapshot_date, expiration, strike, option_type, {K} limit 100)""",
+ select * from near_ratioed where vol_oi_ratio >= 8 order by vol_oi_ratio desc, ticker, snapshot_date, expiration, strike, option_type, {K} limit 100)""",
     "sort_nulls_last": "select id, coalesce(observed_return, -9) as observed_return from labeled",
     "stream_whale_log": f"""with recursive w as (select * from raw where vol_oi_ratio >= 5),
  k as (select ticker, option_type, side, min(ts) as ts from w group by all

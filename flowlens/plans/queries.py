@@ -24,6 +24,7 @@ QUOTE_ORDER = ["k1", "k2", "k3"]
 KEYS = ["k1", "k2", "k3"]
 TICKERS = [f"T0{i}" for i in range(10)]
 FOLD_ROWS = 500
+LEAST_RATIO = 8.0
 
 WIDE = {
     "prob_threshold": 0.40, "profit_threshold": 0.25, "hard_stop_loss": 0.15, "max_quantile_spread": 1.0,
@@ -868,7 +869,8 @@ def validation_gate(s, d):
 
 
 def topk_unusual(s, d):
-    x = sc.topk_unusual(sc.quote_columns(ratioed(s, d)), 100, TIES)
+    near = sc.with_ratio(sc.offhours_volume(sc.coerce_numeric(tb.select_expirations(chain(s, d)))))
+    x = sc.topk_unusual(sc.quote_columns(sc.unusual(near, LEAST_RATIO)), 100, TIES)
     return x.select("ticker", day("snapshot_date"), day("expiration"), "strike", "option_type", "vol_oi_ratio", "premium", "side", *KEYS)
 
 
