@@ -45,7 +45,7 @@ def pending(trades: DataFrame, as_of: datetime.datetime, horizon: int = 10, forc
 def label_trades(
     trades: DataFrame, bars: DataFrame, as_of: datetime.datetime, horizon: int = 10, threshold: float = 0.03
 ) -> DataFrame:
-    """Trades with labels set where pending and priced within the horizon.
+    """Trades with labels set where pending and priced, at entry and within the horizon.
 
     The settlement is the last close from the trade date to ``horizon`` days on. A bought
     call or sold put gains when it rises; everything else, mid prints included, when it
@@ -58,7 +58,7 @@ def label_trades(
     )
     gain = F.try_divide(F.when(up, F.col("settle") - start).otherwise(start - F.col("settle")), start)
     worst = F.try_divide(F.when(up, F.col("low") - start).otherwise(start - F.col("high")), start)
-    hit = is_pending(as_of, horizon) & F.col("settle").isNotNull()
+    hit = is_pending(as_of, horizon) & F.col("settle").isNotNull() & start.isNotNull()
     j = j.withColumns({"_gain": gain, "_worst": worst, "_hit": hit})
     new = {
         "labeled": F.lit(True),

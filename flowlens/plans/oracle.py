@@ -156,7 +156,7 @@ BLOCKS = {
   case when st = 'F' then 0 else 1 end as is_synthetic, cast(42 + 100 * (k % 5) as int) as ensemble_id from x)
  select *, trade_date + dte as expiration, {RATIO} as vol_oi_ratio, cast(1.1 as double) as commission_per_contract,
   {WEEKLY.format('(trade_date + dte)')} as is_weekly from y""",
-    "trades": "select r.*, b.close as underlier_price from raw r asof join bars b on r.ticker = b.ticker and r.trade_date >= b.bar_date",
+    "trades": "select r.*, b.close as underlier_price from raw r asof left join bars b on r.ticker = b.ticker and r.trade_date >= b.bar_date",
     "chain": f"""with x as (select *, cast(round(l_extendedprice * 100) as bigint) as c, cast(date_trunc('month', l_shipdate) as date) as snap,
    l_linenumber - 4 as s, case when l_linenumber = 4 and cast(l_quantity as bigint) % 2 = 1 then 0 else 10 end as hw from lineitem)
  select concat('T0', cast(l_suppkey % 10 as varchar)) as ticker, snap as snapshot_date,
@@ -177,7 +177,7 @@ BLOCKS = {
   then open_interest else volume end as volume) from near window w as (partition by ticker, snapshot_date)) where volume > 0""",
     "labeled": f"""with w as (select t.id, max_by(b.close, b.bar_date) as settle, min(b.close) as low, max(b.close) as high
    from trades t join bars b on t.ticker = b.ticker and b.bar_date between t.trade_date and t.trade_date + 10 group by t.id),
- g as (select t.*, w.settle is not null and t.ts <= {AS_OF} - interval 10 day as labeled,
+ g as (select t.*, w.settle is not null and t.underlier_price is not null and t.ts <= {AS_OF} - interval 10 day as labeled,
    case when {SIDE_UP} then settle - underlier_price else underlier_price - settle end / underlier_price as gain,
    case when {SIDE_UP} then low - underlier_price else underlier_price - high end / underlier_price as worst
    from trades t left join w on t.id = w.id)

@@ -107,8 +107,9 @@ def raw_trades(orders: DataFrame) -> DataFrame:
 
 def trades(spark: SparkSession, sf_dir: str, bars_df: DataFrame | None = None) -> DataFrame:
     bars_df = bars(spark, sf_dir) if bars_df is None else bars_df
+    """All orders as trades; one before the first bar of its ticker has no underlier price."""
     t = asof_price(raw_trades(_read(spark, sf_dir, "orders")), bars_df, "trade_date")
-    return t.where(F.col("spot").isNotNull()).withColumnRenamed("spot", "underlier_price")
+    return t.withColumnRenamed("spot", "underlier_price")
 
 
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
