@@ -73,37 +73,37 @@ def entry_cost(contracts: DataFrame, min_premium: float = 15.0) -> DataFrame:
 def mark_path(contracts: DataFrame) -> DataFrame:
     """One row per contract and following bar with the profit against the entry price."""
     x = contracts.select("*", F.posexplode("future").alias("_i", "_f")).drop("future")
-    x = x.withColumns({"day": F.col("_i") + 1, "spot_now": F.col("_f.spot")})
-    vol = px.model_iv(F.col("_f.vol"), "vix", "skew")
-    years = F.greatest(F.lit(1), F.col("dte") - F.col("day")) / lit(365)
-    value = px.bs_price("option_type", "spot_now", "strike", years, vol) * 100
-    bought = F.col("side") == "BUY"
-    x = x.withColumn("value", value)
-    gain = F.when(bought, F.col("value") - F.col("half_spread") - F.col("entry_price")).otherwise(
+    x = x.withColumns({"day": F.col("_i") + 1, "spot_now": F.col("_f.spot"), "iv_now": px.model_iv(F.col("_f.vol"), "vix", "skew")})
+    x = x.withColumn("years_now", F.greatest(F.lit(1), F.col("dte") - F.col("day")) / lit(365)).drop("_i", "_f")
+    x = x.withColumn("value", px.bs_price("option_type", "spot_now", "strike", "years_now", "iv_now") * 100)
+    gain = F.when(F.col("side") == "BUY", F.col("value") - F.col("half_spread") - F.col("entry_price")).otherwise(
         F.col("entry_price") - F.col("value") - F.col("half_spread")
     )
-    return x.withColumn("pnl", F.try_divide(gain, F.col("entry_price"))).drop("_i", "_f")
+    return x.withColumn("pnl", F.try_divide(gain, F.col("entry_price")))
 
 
 def path_outcome(path: DataFrame, key: Sequence[str] = ("ticker", "bar_date", "option_type", "mult", "dte")) -> DataFrame:
-    """Final and worst profit of each marked contract; contracts with one bar or less drop out."""
-    delta = px.greeks("option_type", "close", "strike", "years", "iv")["delta"]
+    """Final and worst profit of each marked contract, with the greeks at exit; contracts with one bar or less drop out.
+
+    The bars of a contract lie in one task, so partial aggregation sends one row per contract;
+    greeks are computed on those rows only.
+    """
+    entry = F.struct("close", "strike", "years", "iv")
     o = path.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("pnl").alias("_mae"),
-        F.max_by("pnl", "day").alias("_final"),
-        F.max_by("spot_now", "day").alias("_exit"),
-        F.first(delta).alias("delta_entry"),
-        F.first("close").alias("close"),
+        F.count(F.lit(1)).alias("n"), F.min("pnl").alias("_mae"), F.min_by(entry, "day").alias("_in"),
+        F.max_by(F.struct("pnl", "spot_now", "iv_now", "years_now"), "day").alias("_out"),
     )
     o = o.where(F.col("n") > 1).withColumns(
         {
-            "observed_return": F.least(F.greatest(F.col("_final"), lit(-1)), lit(3)),
+            "observed_return": F.least(F.greatest(F.col("_out.pnl"), lit(-1)), lit(3)),
             "max_adverse_return": F.least(F.greatest(F.col("_mae"), lit(-1)), lit(0)),
+            "_entry": px.greeks("option_type", "_in.close", "_in.strike", "_in.years", "_in.iv"),
+            "_exit": px.greeks("option_type", "_out.spot_now", "_in.strike", "_out.years_now", "_out.iv_now"),
         }
     )
-    hedged = F.col("observed_return") - F.col("delta_entry") * (F.try_divide("_exit", "close") - 1)
+    hedged = F.col("observed_return") - F.col("_entry.delta") * (F.try_divide(F.col("_out.spot_now"), F.col("_in.close")) - 1)
     return o.select(
         *key, "observed_return", "max_adverse_return",
         (F.col("observed_return") >= 0.05).cast("int").alias("label_success"), hedged.alias("delta_hedged_return"),
+        *[F.col(f"_exit.{g}").alias(f"{g}_exit") for g in ("delta", "gamma", "vega", "theta", "rho")],
     )

@@ -547,8 +547,12 @@ BODIES = {
     "mark_path": f"""select ticker, {d('bar_date')}, option_type, day, count(*) as n, {r6('avg(value)', 'avg_value')}, {r6('min(pnl)', 'min_pnl')},
  {r6('max(pnl)', 'max_pnl')}, {r6('avg(pnl)', 'avg_pnl')} from marked group by all""",
     "path_outcome": f"""select ticker, option_type, mult, dte, {d('bar_date')}, round(fin, 6) as observed_return, round(least(greatest(mae, -1), 0), 6) as max_adverse_return,
- cast(fin >= 0.05 as int) as label_success, round(fin - (case when option_type = 'Call' then {cdf('d1')} else {cdf('d1')} - 1 end) * (ex / close - 1), 4) as delta_hedged_return from (
- select ticker, option_type, mult, dte, bar_date, close, d1, min(pnl) as mae, least(greatest(max_by(pnl, day), -1), 3) as fin, max_by(spot_now, day) as ex from marked group by all having count(*) > 1)""",
+ cast(fin >= 0.05 as int) as label_success, round(fin - (case when option_type = 'Call' then {cdf('d1')} else {cdf('d1')} - 1 end) * (ex / close - 1), 4) as delta_hedged_return,
+ round(case when option_type = 'Call' then {cdf('e1')} else {cdf('e1')} - 1 end, 6) as delta_exit, round({pdf('e1')} / (ex * v2 * sqrt(t2)), 6) as gamma_exit, round(ex * {pdf('e1')} * sqrt(t2), 6) as vega_exit,
+ round(-ex * {pdf('e1')} * v2 / (2 * sqrt(t2)) - 0.045 * owed, 6) as theta_exit, round(t2 * owed, 6) as rho_exit from (
+ select *, strike * exp(-0.045 * t2) * case when option_type = 'Call' then {cdf('e2')} else -{cdf('-e2')} end as owed from (
+ select ticker, option_type, mult, dte, bar_date, close, d1, strike, min(pnl) as mae, least(greatest(max_by(pnl, day), -1), 3) as fin, max_by(spot_now, day) as ex,
+  max_by(e1, day) as e1, max_by(e2, day) as e2, max_by(v2, day) as v2, max_by(t2, day) as t2 from marked group by ticker, option_type, mult, dte, bar_date, close, d1, strike having count(*) > 1))""",
     "features": f"""with h as (select ticker, bar_date, case when count(ret) {OVER.format(62)} >= 5 then stddev_samp(ret) {OVER.format(62)} * sqrt(252) * 100 else 0 end as hv from (
   select *, ln(close / lag(close) over (partition by ticker order by bar_date)) as ret from bars))
  select id, {BUCKET} as dte_bucket, round((strike - underlier_price) / underlier_price, 6) as moneyness, round(case when h.hv > 0 then implied_vol / h.hv else 1 end, 6) as iv_hv_ratio,

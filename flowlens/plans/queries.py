@@ -510,7 +510,8 @@ def mark_path(s, d):
 def path_outcome(s, d):
     x = paths.path_outcome(paths.mark_path(contracts(s, d)))
     return x.select(
-        *CONTRACT, day("bar_date"), r6("observed_return"), r6("max_adverse_return"), "label_success", r4("delta_hedged_return")
+        *CONTRACT, day("bar_date"), r6("observed_return"), r6("max_adverse_return"), "label_success", r4("delta_hedged_return"),
+        *[r6(f"{g}_exit") for g in ("delta", "gamma", "vega", "theta", "rho")],
     )
 
 
