@@ -83,6 +83,12 @@ def heuristic_score(
     return F.least(s, lit(0.95))
 
 
+def open_trade_score(trend: Column | str = "trend_alignment", side: Column | str = "side") -> Column:
+    """The shorter rule for open trades: no ratio term, and only a bullish trend counts."""
+    s = lit(0.5) + F.when(c(trend) == "BULL_ALIGNED", 0.15).otherwise(0.0) + F.when(c(side) == "BUY", 0.05).otherwise(0.0)
+    return F.least(s, lit(0.95))
+
+
 def contrarian(trend: Column | str = "trend_alignment", option_type: Column | str = "option_type") -> Column:
     t, o = c(trend), c(option_type)
     return ((t == "BULL_ALIGNED") & (o == "Put")) | ((t == "BEAR_ALIGNED") & (o == "Call"))

@@ -593,7 +593,8 @@ BODIES = {
     "classify_regime": classify("(h.hv / 3)"),
     "kelly_quantile": f"select id, round(least(greatest(k, 0), 0.25), 6) as kelly, round(k, 6) as kelly_raw from (select id, {kelly_q('q', p_success('q', '0.025'))} as k from scored)",
     "heuristic_score": """select id, round(least(0.5 + case when vol_oi_ratio > 5 then 0.1 else 0 end + case when trend_alignment in ('BULL_ALIGNED', 'BEAR_ALIGNED') then 0.15 else 0 end
- + case when side = 'BUY' then 0.05 else 0 end, 0.95), 6) + 0e0 as score, -0.02e0 as p10, 0.005e0 as p25, 0.03e0 as p50, 0.055e0 as p75, 0.08e0 as p90, 0.5e0 as p_success from trades""",
+ + case when side = 'BUY' then 0.05 else 0 end, 0.95), 6) + 0e0 as score,
+ round(least(0.5 + case when trend_alignment = 'BULL_ALIGNED' then 0.15 else 0 end + case when side = 'BUY' then 0.05 else 0 end, 0.95), 6) + 0e0 as score_open, -0.02e0 as p10, 0.005e0 as p25, 0.03e0 as p50, 0.055e0 as p75, 0.08e0 as p90, 0.5e0 as p_success from trades""",
     "gaussian_signal": f"""with a as (select *, q[4] - q[2] as iqr, volume / (open_interest + 1e-6) as ratio, greatest((q[4] - q[2]) / 1.349, 1e-6) as sg from scored),
  b as (select *, least(greatest(1 - {cdf('((0.05 - q[3]) / sg)')} + 0.025, 0.02), 0.98) as p, case when q[3] > 0 then q[3] else 0.08 end as odds from a),
  c as (select *, ratio between 3 and 50 and dte between 14 and 30 as liquid, p >= 0.4 and iqr <= 0.26 and q[3] >= 0.04 as good from b)

@@ -652,7 +652,7 @@ def kelly_quantile(s, d):
 def heuristic_score(s, d):
     flat = sg.flat_quantiles()
     x = trades(s, d).withColumn("q", flat)
-    return x.select("id", r6(sg.heuristic_score(), "score"), *quantile_cols(), r6(sg.p_success("q", 0.03), "p_success"))
+    return x.select("id", r6(sg.heuristic_score(), "score"), r6(sg.open_trade_score(), "score_open"), *quantile_cols(), r6(sg.p_success("q", 0.03), "p_success"))
 
 
 def gaussian_signal(s, d):
