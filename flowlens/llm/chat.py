@@ -10,7 +10,7 @@ first, so a text never holds a control string and reading back restores it exact
 holds the (start, length) of each assistant text, in code points of the formatted string.
 
 Defined results: null text is empty, null role is an empty role; a message whose parent is absent
-is a root; messages in a cycle belong to no path; repeated rows of a linear table are turns of
+is a root; replies in a cycle are an error; repeated rows of a linear table are turns of
 their own, ordered by (turn, role, text), null turns first; an empty table gives no row.
 """
 
@@ -78,21 +78,23 @@ def paths(tree: DataFrame, best: int | None = None) -> DataFrame:
     leaves = nodes.alias("n").join(parents.alias("p"), key("n", "p") & (F.col("n.node") == F.col("p.node")), "left_anti")
     known = nodes.alias("n").join(nodes.alias("p"), key("n", "p") & (F.col("n.parent") == F.col("p.node")), "left")
     # up: the ancestor 2^k steps above, or null; sum: the scores of a message and of the 2^k - 1 above it.
+    # A message whose root is nearer than that is done: only the others are joined again.
     jumps = _table(known.select("n.tree", "n.node", F.col("p.node").alias("up"), F.col("n.score").alias("sum")), "jumps")
-    levels = [jumps]
-    while jumps.where("up is not null").limit(1).count():
-        j = jumps.alias("a").join(jumps.alias("b"), key("a", "b") & (F.col("a.up") == F.col("b.node")), "left")
-        jumps = _table(j.select("a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.sum") + F.coalesce(F.col("b.sum"), F.lit(0.0))).alias("sum")), "jumps")
-        levels.append(jumps)
+    levels, done, active = [], jumps.where("up is null"), jumps.where("up is not null")
+    while active.limit(1).count():
+        levels.append(active)
         if len(levels) > 62:
             raise ValueError("the replies hold a cycle")
-    scored = leaves.alias("n").join(jumps.alias("j"), key("n", "j") & (F.col("n.node") == F.col("j.node"))).select("n.tree", F.col("n.node").alias("leaf"), F.col("j.sum").alias("total"))
+        j = active.alias("a").join(done.union(active).alias("b"), key("a", "b") & (F.col("a.up") == F.col("b.node")))
+        jumps = _table(j.select("a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.sum") + F.col("b.sum")).alias("sum")), "jumps")
+        done, active = done.union(jumps.where("up is null")), jumps.where("up is not null")
+    scored = leaves.alias("n").join(done.alias("j"), key("n", "j") & (F.col("n.node") == F.col("j.node"))).select("n.tree", F.col("n.node").alias("leaf"), F.col("j.sum").alias("total"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf")))
     chosen = ranked if best is None else ranked.where(F.col("rank") <= best)
     found = chosen.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("above"))
     # From far to near: every known message of a path gets the one 2^k above it.
     for k in reversed(range(len(levels))):
-        up = found.alias("f").join(levels[k].where("up is not null").alias("j"), key("f", "j") & (F.col("f.node") == F.col("j.node")))
+        up = found.alias("f").join(levels[k].alias("j"), key("f", "j") & (F.col("f.node") == F.col("j.node")))
         found = _table(found.union(up.select("f.tree", "f.leaf", "f.rank", F.col("j.up").alias("node"), F.col("f.above") + (1 << k))), "found")
     return found
 
