@@ -76,7 +76,7 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from ids whose crc32 modulo 7 is not 2; scores every text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", bucket_of_id(F.col("doc_id"), 7) == 2)
-    return lm.score(docs, docs.where("not held_out"), extra=("held_out",))
+    return lm.score(docs, "not held_out", extra=("held_out",))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

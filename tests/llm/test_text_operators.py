@@ -258,6 +258,34 @@ def test_attention_is_a_causal_distribution():
     assert abs(sum(10 ** (each - base)) - 1) < 1e-3
 
 
+def test_lm_counts_cover_whole_texts(spark):
+    """More texts than the sample of old, and ids that only the end of a long text holds."""
+    own = [(i, f"plain words of text {i % 7}") for i in range(900)] + [(900, "a b c d " * 6000 + "zebra quartz zebra"), (900, "repeated id"), (None, "no id xylophone"), (901, None)]
+    learning = spark.createDataFrame(own, "doc_id long, text string")
+    ids = [np.append(encoded(t and t.lower(), tokenizer_path()), np.uint32(lm.END)) for _, t in own]
+    model = lm.fit(learning, "doc_id", "text")
+    assert set(np.flatnonzero(model.column >= 0)) == set(np.concatenate(ids).tolist())
+    one = lm.train(ids)
+    assert (model.cls == one.cls).all() and np.allclose(model.seen, one.seen) and np.allclose(model.rest, one.rest)
+
+
+def test_lm_windows_grow_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_WINDOWS", 100)
+    monkeypatch.setattr(lm, "SHARE", 8)
+    monkeypatch.setattr(lm, "PART_WINDOWS", 300)
+    text = " ".join(f"w{i}" for i in range(2000))
+    found = []
+    for rows in (10, 40):
+        coded = lm._coded(spark.createDataFrame([(7, text)] * rows, "doc_id long, text string"), "text")
+        y, at = lm._sequences(pa.array([coded.first()["__ids"]]))
+        drawn, parts = lm._drawn(coded, rows * len(lm.places(at)[0]))
+        every = {w.tobytes() for w in lm.windows(y, at, *lm.places(at))[1].astype("<u2")}
+        own = [bytes(r["window"])[2 * lm.WINDOW :] for r in drawn.collect()]
+        assert set(own) <= every and parts == 1 + rows * len(lm.places(at)[0]) // 8 // 300
+        found.append(len(own))
+    assert 3 < found[1] / found[0] < 5
+
+
 def test_quality_rules(docs, awkward, empty):
     expected = []
     for r in docs.collect():
