@@ -2,8 +2,9 @@
 
 Bytes become small vectors; filters of several widths run over them; each filter's maximum over
 a window goes into a softmax over the learned languages. The network is trained in numpy on a
-bounded sample of labelled rows: per language the ``PER_LANG`` rows with the smallest hash of
-their id. A text is judged by all its windows of ``WINDOW`` bytes: the mean of their
+bounded sample of labelled rows: per language at most ``PER_LANG`` rows, those with the smallest
+hash of their id, of a repeated id the first text of each before any second one; of each row at
+most ``WINDOWS_PER_TEXT`` windows, chosen by hash over its whole length. A text is judged by all its windows of ``WINDOW`` bytes: the mean of their
 probabilities, weighted by their bytes.
 
 Defined results: null text or text without a letter: ``und``, score 0. Labels that are null are
@@ -12,6 +13,7 @@ not learned from; without any label every text is ``und``. Rows are judged each
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowlens.llm.common import text_bytes, with_results
+from flowlens.llm.common import mixed, text_bytes, with_results
 
 WINDOW = 256
 BATCH = 128
@@ -78,14 +80,18 @@ def cut_windows(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndar
 
 
 def train(texts: list[str], langs: list[str], seed: int = 5) -> Network:
-    """A network fitted to the windows of labelled texts, by Adam on the cross entropy."""
+    """A network fitted to windows of labelled texts."""
+    cut = _training_windows(pa.array(texts, pa.string()))
+    return train_windows([w for own in cut for w in own], [x for own, x in zip(cut, langs, strict=True) for _ in own], seed)
+
+
+def train_windows(cut: list[bytes], langs: list[str], seed: int = 5) -> Network:
+    """A network fitted to labelled windows, by Adam on the cross entropy."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    raw, offsets = text_bytes(pa.array(texts, pa.string()))
-    first, size, text = windows_of(raw, offsets)
-    nth = np.arange(len(text)) - np.searchsorted(text, text)
-    first, size, text = (x[nth < WINDOWS_PER_TEXT] for x in (first, size, text))
-    target = np.array([names.index(x) for x in langs])[text]
+    raw, size = np.frombuffer(b"".join(cut), np.uint8), np.array([len(w) for w in cut])
+    first = np.cumsum(size) - size
+    target = np.array([names.index(x) for x in langs])
     wide, n_filters = max(WIDTHS), FILTERS * len(WIDTHS)
     mask = np.concatenate([np.repeat((np.arange(wide) < w).astype(np.float32), DIM)[:, None].repeat(FILTERS, 1) for w in WIDTHS], axis=1)
     net = Network(
@@ -135,15 +141,36 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> Network:
     return net
 
 
+def _training_windows(texts: pa.Array) -> list[list[bytes]]:
+    """Of each text the windows of the whole text with the smallest hashes of place and content, ``WINDOWS_PER_TEXT`` at most."""
+    out: list[list[bytes]] = []
+    raw, offsets = text_bytes(texts)
+    for i in range(len(texts)):
+        own = raw[offsets[i] : offsets[i + 1]]
+        seed = np.uint64(zlib.crc32(own.tobytes()))
+        h = mixed(mixed(np.arange(-(-len(own) // WINDOW), dtype=np.uint64), 1) ^ seed, 2)
+        out.append([own[k * WINDOW : (k + 1) * WINDOW].tobytes() for k in np.sort(np.argsort(h)[:WINDOWS_PER_TEXT]).tolist()])
+    return out
+
+
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> Network | None:
-    """A network from at most ``per_lang`` texts of each language; None without labels."""
-    rows = labelled.select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h")).where("lang is not null and id is not null")
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    # At most per_lang ids of each language leave a task; the texts are read for these ids only.
-    ids = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_lang).select("id").distinct()
-    chosen = labelled.join(F.broadcast(ids.withColumnRenamed("id", key)), key, "left_semi")
-    sample = [(r["text"], r["lang"]) for r in chosen.select(F.substring(F.col(text).cast("string"), 1, WINDOW * WINDOWS_PER_TEXT).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).alias("id")).where("lang is not null and text rlike '\\\\p{L}'").orderBy("id", "text").collect()]
-    return train([t for t, _ in sample], [x for _, x in sample]) if sample else None
+    """A network from at most ``per_lang`` rows of each language; None without labels."""
+    text_, lang_ = F.col(text).cast("string"), F.col(lang).cast("string")
+    rows = labelled.select(F.col(key).alias("id"), lang_.alias("lang"), text_.alias("text")).where("lang is not null and id is not null and text rlike '\\\\p{L}'")
+    rows = rows.withColumn("h", F.xxhash64(F.col("id").cast("string"))).withColumn("t", F.xxhash64("text"))
+    # A repeated id gives its second text when every id has given its first one. At most per_lang rows of a language leave a task.
+    of_id, of_lang = Window.partitionBy("lang", "id").orderBy("t"), Window.partitionBy("lang").orderBy("again", "h", "id", "t")
+    ids = rows.select("lang", "id", "h", "t").withColumn("again", F.row_number().over(of_id)).where(F.col("again") <= per_lang)
+    ids = ids.withColumn("nth", F.row_number().over(of_lang)).where(F.col("nth") <= per_lang).select("lang", "id", "t").distinct()
+
+    @F.arrow_udf("array<binary>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array(_training_windows(texts), pa.list_(pa.binary()))
+
+    # Exact copies of a row leave a task once; the texts themselves stay there.
+    chosen = rows.join(F.broadcast(ids), ["lang", "id", "t"], "left_semi").select("lang", "id", "t", cut(F.col("text")).alias("w"))
+    sample = sorted(chosen.distinct().collect(), key=lambda r: (r["lang"], r["id"], r["t"]))
+    return train_windows([w for r in sample for w in r["w"]], [r["lang"] for r in sample for _ in r["w"]]) if sample else None
 
 
 def _predictor(broadcast) -> Callable[[Column], Column]:  # noqa: ANN001

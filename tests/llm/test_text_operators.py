@@ -97,6 +97,25 @@ def test_language_id(spark, sf, docs, awkward, empty):
     assert langid.known_language(awkward, net, 0.0).columns == awkward.columns
 
 
+def test_language_windows_come_from_whole_texts(spark):
+    """All texts open with the same passage; only what follows tells the languages apart."""
+    rng, head = random.Random(4), "licence of the archive, all rights reserved. " * 40
+    body = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(1500))
+    rows = [(i, head + body("abcdefgh" if i % 2 else "rstuvwxy"), "aa" if i % 2 else "bb") for i in range(60)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    alone = spark.createDataFrame([(1, body("abcdefgh"), "aa"), (2, body("rstuvwxy"), "bb")], "doc_id long, text string, lang string")
+    assert all(r.lang == r.lang_pred and r.score > 0.8 for r in langid.predict(alone, net).collect())
+
+
+def test_language_rows_of_a_repeated_id_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train_windows", lambda cut, langs: seen.append((cut, langs)))
+    rows = [(1, f"text number {i} of one id", "aa") for i in range(200)] + [(1, "a copy", "aa")] * 50 + [(2, "another id", "aa"), (3, "a third", "bb")]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=10)
+    (cut, langs), = seen
+    assert Counter(langs) == {"aa": 10, "bb": 1} and b"another id" in cut and cut.count(b"a copy") <= 1
+
+
 def test_near_duplicates(spark, docs, empty):
     rng = random.Random(1)
     base = [f"u{rng.randrange(4000)}" for _ in range(150)]
