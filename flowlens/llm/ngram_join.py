@@ -161,16 +161,18 @@ def repeated_filter(docs: DataFrame, text: str, size: int, ranges: int, per_rang
     return out
 
 
-def _numbers(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(id, fp, n) of each row: fingerprint and size of its set."""
+def _numbers(docs: DataFrame, key: str, text: str, size: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, fp, n) of each row: fingerprint and size of its set; ``keep`` are columns of long numbers."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, flat, at in shingle_sets(batch.column(1), size):
                 n = len(at) - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(fingerprints(flat, at), pa.binary()), pa.array(np.diff(at), pa.int64())], ["id", "fp", "n"])
+                kept = [batch.column(k).slice(first, n) for k in (0, *range(2, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(fingerprints(flat, at), pa.binary()), pa.array(np.diff(at), pa.int64())], ["id", *keep, "fp", "n"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(sizes, "id long, fp binary, n long")
+    kept = "".join(f"{c} long, " for c in keep)
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string"), *keep).mapInArrow(sizes, f"id long, {kept}fp binary, n long")
 
 
 def _suspects(docs: DataFrame, text: str, size: int, percent: int, bits: np.ndarray, ranges: int, per_range: int) -> DataFrame:
@@ -210,9 +212,9 @@ def _suspects(docs: DataFrame, text: str, size: int, percent: int, bits: np.ndar
     return docs.select(F.col(text).cast("string")).mapInArrow(chosen, "fp binary, n long, spans array<int>, tokens array<long>")
 
 
-def _table(df: DataFrame, name: str) -> DataFrame:
+def _table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -308,13 +310,10 @@ def _linked_components(sets: DataFrame, percent: int) -> DataFrame:
     raise AssertionError("the last round returns")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id (the smallest key reachable by links).
-
-    Two rows link when ``100 * |A n B| >= percent * |A u B|`` for their sets of ``size``-word shingles.
-    """
+def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, n, comp) of each row of ``docs``; comp is null where the set is empty or linked with nothing."""
     spark: SparkSession = docs.sparkSession
-    rows = _table(_numbers(docs, key, text, size), "rows")
+    rows = _table(_numbers(docs, key, text, size, keep), "rows")
     total = rows.agg(F.sum("n")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ENTRIES))
     per_range = max(64, min(FILTER_BITS, max(1 << 20, total)) // ranges // 8 * 8)
@@ -323,19 +322,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sets = _table(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     comps = sets.select("fp", "node").join(_linked_components(sets, percent), "node", "left").select("fp", F.coalesce("comp", "node").alias("comp"))
     # A text whose set is not in that table is linked with nothing.
-    named = rows.join(comps, "fp", "left")
+    return rows.join(comps, "fp", "left").drop("fp")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: key, n_shingles, component_id (the smallest key reachable by links).
+
+    Two rows link when ``100 * |A n B| >= percent * |A u B|`` for their sets of ``size``-word shingles.
+    """
+    named = _grouped(docs, key, text, size, percent)
     least = named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
     one = F.when(F.col("comp").isNotNull(), F.col("least")).otherwise(F.col("id"))
     return named.join(least, "comp", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), one.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay when one of each group of near duplicates is kept: the one with the smallest key.
+    """The rows of ``docs`` that stay when one row of each group of near duplicates is kept.
 
-    Of rows that repeat a key one stays; rows without a key all stay.
+    That is the one with the smallest key (no key comes last), of equal keys any one. Rows that are
+    linked with nothing all stay, whatever their keys are.
     """
-    found = near_duplicates(docs, key, text, size, percent)
-    gone = found.where(F.col("component_id") != F.col(key)).select(F.col(key)).distinct()
-    again = found.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).select(key)
-    kept = docs.join(gone, key, "left_anti")
-    return kept.join(again, key, "left_anti").union(kept.join(again, key, "left_semi").dropDuplicates([key])).select(*docs.columns)
+    numbered = _table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", "zstd")
+    named = _table(_grouped(numbered, key, text, size, percent, ("__row",)).where("comp is not null").select("id", "__row", "comp"), "named")
+    first = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row"))["__row"].alias("stays"))
+    gone = named.join(first, "comp").where("__row <> stays").select("__row")
+    return numbered.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

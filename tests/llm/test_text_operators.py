@@ -138,6 +138,13 @@ def test_one_of_each_keeps_the_smallest(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 5, 6, 7]
 
 
+def test_one_of_each_goes_by_rows(spark):
+    t, other = "the quick brown fox jumps over the lazy dog again and again", "something else that nobody wrote before at all"
+    rows = [(4, t, 1), (2, t, 2), (4, other, 3), (None, t + " now", 4), (None, "a text of its own with no id", 5), (None, "two copies without any id here", 6), (None, "two copies without any id here", 6), (4, "a third text under that same id", 7), (4, None, 8), (4, None, 9)]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, extra int"))
+    assert sorted(r.extra for r in kept.collect()) == [2, 3, 5, 6, 7, 8, 9]
+
+
 def test_packing(spark, docs, empty):
     rows = packing.packed_documents(docs).collect()
     ids = defaultdict(list)
