@@ -21,11 +21,10 @@ def daily_close(bars: DataFrame, last_day: Column) -> DataFrame:
     )
 
 
-def asof_price(df: DataFrame, bars: DataFrame, date_col: str, spread: tuple[str, ...] = ("ticker",)) -> DataFrame:
+def asof_price(df: DataFrame, bars: DataFrame, date_col: str) -> DataFrame:
     """Add ``spot``, the ticker's latest close at or before ``date_col``; NULL before the first."""
     last_day = df.select(F.max(date_col).alias("m"))
     prices = daily_close(bars, last_day.scalar()).withColumnRenamed("day", date_col)
-    keys = spread if spread != ("ticker",) else tuple(c for c in ("id", "k1", "k2", "k3") if c in df.columns) or spread
     return df.join(prices, ["ticker", date_col], "left")
 
 

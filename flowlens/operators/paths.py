@@ -51,7 +51,7 @@ def entry_cost(contracts: DataFrame, min_premium: float = 15.0) -> DataFrame:
     side = F.when(F.col("trend") == "BULL_ALIGNED", "BUY").when(F.col("trend") == "BEAR_ALIGNED", "SELL").otherwise("MID")
     x = contracts.withColumn("moneyness", m).withColumn("skew", px.skew_adjustment("moneyness", "dte"))
     x = x.withColumn("iv", px.model_iv("gk_vol", "vix", "skew")).withColumn("years", F.col("dte") / lit(365))
-    x = x.withColumn("premium", px.bs_price("option_type", "close", "strike", "years", "iv") * 100)
+    x = px.with_price(x, "premium", "option_type", "close", "strike", "years", "iv").withColumn("premium", F.col("premium") * 100)
     x = x.where(F.col("premium") >= min_premium).withColumn("spread_pct", px.spread_pct("moneyness", "dte"))
     half = F.col("premium") * F.col("spread_pct") / 2
     in_money = F.when(F.col("option_type") == "Call", F.col("close") > F.col("strike")).otherwise(F.col("strike") > F.col("close"))
@@ -75,7 +75,7 @@ def mark_path(contracts: DataFrame) -> DataFrame:
     x = contracts.select("*", F.posexplode("future").alias("_i", "_f")).drop("future")
     x = x.withColumns({"day": F.col("_i") + 1, "spot_now": F.col("_f.spot"), "iv_now": px.model_iv(F.col("_f.vol"), "vix", "skew")})
     x = x.withColumn("years_now", F.greatest(F.lit(1), F.col("dte") - F.col("day")) / lit(365)).drop("_i", "_f")
-    x = x.withColumn("value", px.bs_price("option_type", "spot_now", "strike", "years_now", "iv_now") * 100)
+    x = px.with_price(x, "value", "option_type", "spot_now", "strike", "years_now", "iv_now").withColumn("value", F.col("value") * 100)
     gain = F.when(F.col("side") == "BUY", F.col("value") - F.col("half_spread") - F.col("entry_price")).otherwise(
         F.col("entry_price") - F.col("value") - F.col("half_spread")
     )
@@ -86,24 +86,21 @@ def path_outcome(path: DataFrame, key: Sequence[str] = ("ticker", "bar_date", "o
     """Final and worst profit of each marked contract, with the greeks at exit; contracts with one bar or less drop out.
 
     The bars of a contract lie in one task, so partial aggregation sends one row per contract;
-    greeks are computed on those rows only.
+    greeks are computed on those rows only. Every aggregate is a number, so rows are hashed and not sorted.
     """
-    entry = F.struct("close", "strike", "years", "iv")
+    at_exit = ("pnl", "spot_now", "iv_now", "years_now")
     o = path.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.min("pnl").alias("_mae"), F.min_by(entry, "day").alias("_in"),
-        F.max_by(F.struct("pnl", "spot_now", "iv_now", "years_now"), "day").alias("_out"),
+        F.count(F.lit(1)).alias("n"), F.min("pnl").alias("_mae"),
+        *[F.min_by(x, "day").alias(f"_in_{x}") for x in ("close", "strike", "years", "iv")],
+        *[F.max_by(x, "day").alias(f"_out_{x}") for x in at_exit],
     )
-    o = o.where(F.col("n") > 1).withColumns(
-        {
-            "observed_return": F.least(F.greatest(F.col("_out.pnl"), lit(-1)), lit(3)),
-            "max_adverse_return": F.least(F.greatest(F.col("_mae"), lit(-1)), lit(0)),
-            "_entry": px.greeks("option_type", "_in.close", "_in.strike", "_in.years", "_in.iv"),
-            "_exit": px.greeks("option_type", "_out.spot_now", "_in.strike", "_out.years_now", "_out.iv_now"),
-        }
-    )
-    hedged = F.col("observed_return") - F.col("_entry.delta") * (F.try_divide(F.col("_out.spot_now"), F.col("_in.close")) - 1)
-    return o.select(
+    o = o.where(F.col("n") > 1)
+    o = px.with_greeks(o, {"delta": "_delta"}, "option_type", "_in_close", "_in_strike", "_in_years", "_in_iv")
+    names = {g: f"{g}_exit" for g in ("delta", "gamma", "vega", "theta", "rho")}
+    o = px.with_greeks(o, names, "option_type", "_out_spot_now", "_in_strike", "_out_years_now", "_out_iv_now")
+    final = F.least(F.greatest(F.col("_out_pnl"), lit(-1)), lit(3))
+    hedged = F.col("observed_return") - F.col("_delta") * (F.try_divide(F.col("_out_spot_now"), F.col("_in_close")) - 1)
+    return o.withColumns({"observed_return": final, "max_adverse_return": F.least(F.greatest(F.col("_mae"), lit(-1)), lit(0))}).select(
         *key, "observed_return", "max_adverse_return",
-        (F.col("observed_return") >= 0.05).cast("int").alias("label_success"), hedged.alias("delta_hedged_return"),
-        *[F.col(f"_exit.{g}").alias(f"{g}_exit") for g in ("delta", "gamma", "vega", "theta", "rho")],
+        (F.col("observed_return") >= 0.05).cast("int").alias("label_success"), hedged.alias("delta_hedged_return"), *names.values(),
     )

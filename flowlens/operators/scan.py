@@ -65,7 +65,7 @@ def expected_move(chain: DataFrame, bars: DataFrame, order: Sequence[str] = ("bi
     front = chain.groupBy(*SNAPSHOT).agg(F.min("expiration").alias("expiration"))
     quotes = chain.join(front, [*SNAPSHOT, "expiration"], "left_semi")
     near = quotes.groupBy(*SNAPSHOT, *QUOTE).agg(F.min_by(F.struct("bid", "ask"), F.struct(*order)).alias("quote"))
-    near = asof_price(near, bars.select("ticker", "bar_date", "close"), "snapshot_date", ("strike", "option_type"))
+    near = asof_price(near, bars.select("ticker", "bar_date", "close"), "snapshot_date")
     call = F.col("option_type") == "Call"
     distance = F.struct(F.abs(F.col("strike") - F.col("spot")), F.col("strike"))
     legs = near.groupBy(*SNAPSHOT, "expiration", "strike").agg(

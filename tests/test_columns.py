@@ -102,6 +102,37 @@ def test_prices(spark):
     assert one(spark, px.greeks(F.lit("Call"), *flat)).delta == 1.0 and one(spark, px.greeks(F.lit("Call"), *flat)).vega == 0.0
 
 
+def test_unknown_inputs_have_no_price_and_no_greeks(spark):
+    rows = [(t, *[None if i == hole else v for i, v in enumerate((100.0, 90.0, year, 0.3))]) for t in ("Call", "Put") for hole in range(4) for year in (0.0, 0.5)]
+    df = spark.createDataFrame([*rows, (None, 100.0, 90.0, 0.0, 0.3)], "type string, s double, k double, t double, v double")
+    args = ("type", "s", "k", "t", "v")
+    both = px.with_greeks(px.with_price(df, "p", *args), {"delta": "d", "vega": "g"}, *args).select("*", px.bs_price(*args).alias("p2"), px.greeks(*args).alias("g2"))
+    for r in both.collect():
+        assert r.p is None and r.p2 is None and r.d is None and r.g is None and set(r.g2) == {None}
+
+
+def test_staged_columns_equal_the_expressions(spark):
+    grid = itertools.product(("Call", "Put"), (80.0, 100.0, 0.0), (90.0, 100.0), (0.0, 1e-7, 0.1, 2.0), (0.0, 0.2, 1.5))
+    df = spark.createDataFrame(list(grid), "type string, s double, k double, t double, v double")
+    args = ("type", "s", "k", "t", "v")
+    names = {g: f"{g}_x" for g in ("delta", "gamma", "vega", "theta", "rho")}
+    both = px.with_greeks(px.with_price(df, "p", *args), names, *args).select("*", px.bs_price(*args).alias("p2"), px.greeks(*args).alias("g2"))
+    for r in both.collect():
+        assert r.p == r.p2 and all(r[x] == r.g2[g] for g, x in names.items())
+
+
+def test_marked_paths_stay_compiled(spark, sf):
+    """A stage that outgrows a compiled method raises here instead of falling back."""
+    from flowlens.plans import queries as reg
+
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert reg.path_outcome(spark, sf).where("delta_hedged_return is not null").count() > 0
+        assert reg.mark_path(spark, sf).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def test_success_probability(spark):
     qs = F.array(*[F.lit(v) for v in (0.10, -0.10, 0.0, 0.05, -0.05)])
     for target, p in ((-0.11, 0.98), (-0.10, 0.90), (0.0, 0.50), (0.025, 0.375), (0.10, 0.10), (0.11, 0.02)):

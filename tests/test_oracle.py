@@ -10,7 +10,7 @@ from tests.compare import compare, duck
 CORE = (
     "load_chain select_expirations append_new_trades offhours_volume min_ratio_filter trend_contextual table_filters label_range_join "
     "next_event_join asof_price atm_pair_join params_cross scan_summary pcr_pivot live_summary technicals iv_rank market_regime "
-    "first_per_ticker row_slice iv_smile expected_move greeks entry_cost path_outcome features label_trades dedup_12h fit_cell_quantiles "
+    "first_per_ticker row_slice iv_smile expected_move bs_price greeks entry_cost mark_path path_outcome features label_trades dedup_12h fit_cell_quantiles "
     "monotonic_violations stratified_cv p_success classify_regime gaussian_signal walkforward_predict walkforward_purged elig_legacy "
     "ledger sweep_heatmap audit_by_ticker feature_distribution whale_crossing ks_two_sample chi2_two_sample validation_gate "
     "topk_unusual stream_whale_log stream_scan_summary"
