@@ -45,8 +45,12 @@ def _counted(docs: DataFrame, text: str) -> DataFrame:
     # Only texts with a repeated window need the places of the windows.
     placed = F.sort_array(F.transform("__rules_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("__rules_s", F.when(F.size(F.array_distinct("__rules_h")) < F.size("__rules_h"), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    same = lambda k, x: F.coalesce(F.get("__rules_s", k).getField("h") == x.getField("h"), F.lit(False))
-    starts = F.array_compact(F.transform("__rules_s", lambda x, k: F.when(same(k - 1, x) | same(k + 1, x), x.getField("i"))))
+    # A place is repeated if its hash equals that of a neighbour. Neighbours meet as two slices: an array that a
+    # lambda over it names would be computed anew for every element where Spark unfolds aliases.
+    m = F.size("__rules_s")
+    first, second = F.slice("__rules_s", 1, F.greatest(m - 1, F.lit(0))), F.slice("__rules_s", 2, F.greatest(m - 1, F.lit(0)))
+    both = F.zip_with(first, second, lambda x, y: F.when(x.getField("h") == y.getField("h"), F.array(x.getField("i"), y.getField("i"))).otherwise(F.array().cast("array<int>")))
+    starts = F.array_distinct(F.flatten(both))
     df = df.withColumn("__rules_r", F.sort_array(starts))
     gaps = F.zip_with(F.slice("__rules_r", 2, F.greatest(F.size("__rules_r") - 1, F.lit(0))), F.slice("__rules_r", 1, F.greatest(F.size("__rules_r") - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(5)))
     covered = F.when(F.size("__rules_r") > 0, F.aggregate(gaps, F.lit(5), lambda s, x: s + x)).otherwise(F.lit(0))
@@ -63,7 +67,8 @@ def _counted(docs: DataFrame, text: str) -> DataFrame:
         F.regexp_count("__rules_t", F.lit("!")).cast("long").alias("n_bangs"),
         F.regexp_count("__rules_t", F.lit(r"[^\x20\x09-\x0DA-Za-z\x{80}-\x{10FFFF}]")).cast("long").alias("n_other"),
     )
-    return df.withColumn("__rules_q", counts).drop("__rules_t", "__rules_w", "__rules_h", "__rules_s", "__rules_r", "__rules_l")
+    # Filters on a generated column stay above it, so that no filter repeats the counting.
+    return df.withColumn("__rules_q", F.explode(F.array(counts))).drop("__rules_t", "__rules_w", "__rules_h", "__rules_s", "__rules_r", "__rules_l")
 
 
 def judge(docs: DataFrame, text: str = "text", thresholds: tuple[tuple[str, float | None, float | None], ...] = THRESHOLDS) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -332,6 +333,21 @@ def test_quality_rules(docs, awkward, empty):
     assert rules.judge(empty).count() == 0
 
 
+def test_filters_on_rules_repeat_no_work(spark):
+    rng = np.random.default_rng(5)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "the"], 60_000))
+    docs = spark.createDataFrame([(1, long), (2, "the " + " ".join("word" + chr(97 + i % 26) * (1 + i // 26) for i in range(40)))], "doc_id long, text string")
+    rules.judge(docs).collect()
+    start = time.time()
+    every = {r.doc_id: r for r in rules.judge(docs).collect()}
+    plain_s, start = time.time() - start, time.time()
+    kept = rules.judge(docs).where("kept").collect()
+    failed = rules.judge(docs).where("base_failed and n_repeat_words > 10").collect()
+    assert time.time() - start <= 2 * (2 * plain_s + 2)
+    assert [r.doc_id for r in kept] == [2] and [r.doc_id for r in failed] == [1]
+    assert every[1].n_repeat_words > 50_000 and every[2].n_repeat_words == 0
+
+
 def test_rules_tell_labelled_texts_apart(spark):
     big = "/root/testdata/sf0.01"
     rows = queries.op9_quality_rules(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("not base_failed").collect()
