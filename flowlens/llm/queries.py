@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import chat, decontaminate, langid, lm, ngram_join, oracle, packing, quality_gam, rules, token_counts, urls, variants
+from flowlens.llm import chat, decontaminate, fingerprints, langid, lm, ngram_join, oracle, packing, quality_gam, rules, token_counts, urls, variants, whitening
 from flowlens.llm.common import bucket_of_id
 
 
@@ -88,11 +88,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the leading components of the covariance of all of them, scaled to variance one."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of all texts, each with its near words and the form that it may be a spelling of."""
     return variants.forms(variants.word_counts(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts, with the likenesses."""
+    return fingerprints.edited(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -104,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_feast_whitening": op11_feast_whitening,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_minhash_fingerprints": op13_minhash_fingerprints,
 }
 ORACLE: dict[str, str] = oracle.ORACLE
