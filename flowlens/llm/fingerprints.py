@@ -1,6 +1,6 @@
 """Document fingerprints: one-permutation MinHash with optimal densification, kept as packed low-order bits.
 
-Every shingle of five words is hashed once. The top bits of the hash choose one of ``BINS`` bins, the bin keeps
+Every shingle of five words is hashed once (as the hashes of its words). The top bits of the hash choose one of ``BINS`` bins, the bin keeps
 its smallest hash, an empty bin borrows from another one, and the ``BITS`` low-order bits of each bin's value
 are packed into long numbers. Two fingerprints agree in a bin with probability J + (1 - J) / 2^BITS for texts
 of Jaccard similarity J; ``likeness`` takes that bias off.
@@ -24,9 +24,9 @@ from flowlens.llm.common import with_results
 from flowlens.operators.scale import materialize, number_rows
 
 WORDS = 5
-BINS_LOG = 9
+BINS_LOG = 8
 BINS = 1 << BINS_LOG
-BITS = 4
+BITS = 8
 PROBES = 8
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -51,42 +51,45 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     """Adds the packed fingerprint of ``text`` as ``array<bigint>``; an empty array for a text without words."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
     words = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, BLANK))
-    df = _fixed(df, __fp_w=words)
+    df = _fixed(df, __fp_w=F.transform(words, lambda x: F.xxhash64(x)))
     n = F.size("__fp_w")
+    even = lambda h: h.bitwiseAND(F.lit(-2))
+    after = lambda i: [F.get("__fp_w", i + k) for k in range(1, WORDS)]
+    starts = F.slice("__fp_w", F.lit(1), F.greatest(n - (WORDS - 1), F.lit(0)))
     shingles = (
-        F.when(n >= WORDS, F.transform(F.sequence(F.lit(1), F.greatest(n - (WORDS - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("__fp_w", i, WORDS)).bitwiseAND(F.lit(-2))))
-        .when(n > 0, F.array(F.xxhash64("__fp_w").bitwiseAND(F.lit(-2))))
+        F.when(n >= WORDS, F.transform(starts, lambda x, i: even(F.xxhash64(x, *after(i)))))
+        .when(n > 0, F.array(even(F.xxhash64("__fp_w"))))
         .otherwise(F.array().cast("array<bigint>"))
     )
     # with the ends among them, the first value of each bin in sorted order is its minimum, and no bin is missing
-    df = _fixed(df, __fp_s=F.sort_array(F.concat(shingles, F.lit(_ENDS).cast("array<bigint>")))).drop("__fp_w")
-    before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice("__fp_s", 1, F.size("__fp_s") - 1))
+    df = _fixed(df, __fp_s=F.sort_array(F.concat(shingles, F.lit(_ENDS).cast("array<bigint>"))), __fp_n=n).drop("__fp_w")
     bin_of = lambda x: F.shiftright(x, _SHIFT)
-    firsts = F.zip_with("__fp_s", before, lambda x, p: F.when(p.isNull() | (bin_of(p) != bin_of(x)), x))
+    firsts = F.filter("__fp_s", lambda x, i: (i == 0) | (bin_of(F.get("__fp_s", i - 1)) != bin_of(x)))
     # null: an empty bin
-    minima = F.transform(F.array_compact(firsts), lambda x: F.when(x.bitwiseAND(F.lit(1)) == 0, x))
-    df = _fixed(df, __fp_v=minima).drop("__fp_s")
-    filled = F.array_compact(F.transform("__fp_v", lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("i"), x.alias("x")))))
-    df = _fixed(df, __fp_f=filled)
+    df = _fixed(df, __fp_v=F.transform(firsts, lambda x: F.when(x.bitwiseAND(F.lit(1)) == 0, x))).drop("__fp_s")
+    # the filled bins of short texts, whose empty bins would search long
+    filled = F.array_compact(F.transform("__fp_v", lambda x, j: F.when(x.isNotNull(), F.struct(j.alias("j"), x.alias("x")))))
+    df = _fixed(df, __fp_f=F.when(F.col("__fp_n") < BINS, filled))
 
     def borrowed(i: Column) -> Column:
         tried = [F.get("__fp_v", F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(PROBES)]
-        least = F.array_min(F.transform("__fp_f", lambda p: F.struct(F.xxhash64(i, p.getField("i"), F.lit(-1)).alias("h"), p.getField("x").alias("x"))))
-        return F.coalesce(*tried, least.getField("x"))
+        of = lambda j, x: F.struct(F.xxhash64(i, j, F.lit(-1)).alias("h"), x.alias("x"))
+        among_filled = F.array_min(F.transform("__fp_f", lambda p: of(p.getField("j"), p.getField("x"))))
+        among_all = F.array_min(F.transform("__fp_v", lambda x, j: F.when(x.isNotNull(), of(j, x))))
+        return F.coalesce(*tried, F.coalesce(among_filled, among_all).getField("x"))
 
-    full = F.when(F.size("__fp_f").isin(0, BINS), F.col("__fp_v")).otherwise(F.transform("__fp_v", lambda x, i: F.coalesce(x, borrowed(i))))
-    df = _fixed(df, __fp_d=full)
+    df = _fixed(df, __fp_d=F.when(F.col("__fp_n") > 0, F.transform("__fp_v", lambda x, i: F.coalesce(x, borrowed(i))))).drop("__fp_v", "__fp_f")
     digit = lambda x: F.shiftright(x, 1).bitwiseAND(F.lit((1 << BITS) - 1))
     packed = F.transform(
         F.sequence(F.lit(0), F.lit(BINS // _PER_LONG - 1)),
         lambda k: F.aggregate(F.slice("__fp_d", k * _PER_LONG + 1, _PER_LONG), F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, BITS).bitwiseOR(digit(x))),
     )
-    out = F.when(F.size("__fp_f") == 0, F.array().cast("array<bigint>")).otherwise(packed)
-    return _fixed(df, **{name: out}).drop("__fp_v", "__fp_f", "__fp_d")
+    out = F.when(F.col("__fp_n") == 0, F.array().cast("array<bigint>")).otherwise(packed)
+    return _fixed(df, **{name: out}).drop("__fp_n", "__fp_d")
 
 
 def as_text(packed: Column) -> Column:
-    """The packed bits in hexadecimal digits, one per bin."""
+    """The packed bits in hexadecimal digits, two per bin."""
     return F.array_join(F.transform(packed, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
@@ -94,9 +97,9 @@ def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity (0 to 1) of two packed fingerprints, freed of chance agreement."""
 
     def unequal(x: Column) -> Column:
-        any_bit = x
-        for step in range(1, BITS):
-            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, step))
+        any_bit, step = x, 1
+        while step < BITS:
+            any_bit, step = any_bit.bitwiseOR(F.shiftrightunsigned(any_bit, step)), 2 * step
         return F.bit_count(any_bit.bitwiseAND(F.lit(_ONES)))
 
     differ = F.aggregate(F.zip_with(a, b, lambda x, y: unequal(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)

@@ -18,10 +18,10 @@ def signed(x):
 
 
 def hash_words(words):
-    """The engine's 64-bit hash of an array of strings: the hash so far seeds the next one."""
+    """The engine's 64-bit hash of the words' hashes: the hash so far seeds the next one."""
     h = 42
     for w in words:
-        h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+        h = xxhash.xxh64_intdigest(xxhash.xxh64_intdigest(w.encode(), seed=42).to_bytes(8, "little"), seed=h)
     return h
 
 
@@ -63,14 +63,14 @@ def fingerprint(text):
             tries = [hash_ints(i, t) for t in range(fp.PROBES)]
             hit = [bins[signed(h) % fp.BINS] for h in tries if bins[signed(h) % fp.BINS] is not None]
             out[i] = hit[0] if hit else min((signed(hash_ints(i, j, -1)), bins[j]) for j in filled)[1]
-    return "".join(f"{x >> 1 & 15:x}" for x in out).upper()
+    return "".join(f"{x >> 1 & 255:02x}" for x in out).upper()
 
 
 def estimate(a, b):
     if not a or not b:
         return 1.0 if a == b else 0.0
-    agree = sum(x == y for x, y in zip(a, b)) / fp.BINS
-    return max(0.0, (agree - 1 / 16) / (1 - 1 / 16))
+    agree = sum(a[i : i + 2] == b[i : i + 2] for i in range(0, len(a), 2)) / fp.BINS
+    return max(0.0, (agree - 1 / 256) / (1 - 1 / 256))
 
 
 def true_likeness(a, b):
