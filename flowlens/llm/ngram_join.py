@@ -218,12 +218,29 @@ def _table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int, every: bool) -> DataFrame:
+def _bucketed(df: DataFrame, name: str, by: str, compression: str = "snappy", sorted_in: bool = False) -> DataFrame:
+    """A table in buckets of ``by``: joins on that column move the other side alone.
+
+    ``sorted_in``: each partition holds one bucket already, so the rows stay where they are.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not sorted_in:
+        df = df.repartition(buckets, by)
+    df.write.bucketBy(buckets, by).sortBy(by).option("path", path).option("compression", compression).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the entry of the catalog; the files stay, and the plan of ``out`` knows them
+    return out
+
+
+def _pairs(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs of different components in both posting lists, after length, positional and suffix filter, each once.
 
     ``every``: all pairs of the lists, each where its first common shingle is; else those of a leader and a member.
     """
-    names = ("node", "n", "rare", "place", "spans", "comp", *(("listed",) if every else ()))
+    names = ("node", "n", "rare", "place", "comp", *(("listed",) if every else ()))
     a, b = (df.select("token", *[F.col(c).alias(f"{c}_{side}") for c in names]) for df, side in ((left, "a"), (right, "b")))
     # The least overlap of two linked sets: ceil(t (na + nb) / (1 + t)).
     need = F.expr(f"({percent} * (n_a + n_b) + {percent} + 99) div ({percent} + 100)")
@@ -234,10 +251,12 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, every: bool) -> Data
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         # Shingles that one set alone holds come first and are never common.
         & (F.least(F.col("place_a") - F.col("rare_a"), F.col("place_b") - F.col("rare_b")) + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need)
-        & (common >= need)
         & first
     )
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    pairs = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("spans").alias(f"spans_{side}")), side)
+    return pairs.where(common >= need).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -279,16 +298,16 @@ def _linked_components(sets: DataFrame, percent: int) -> DataFrame:
     ordered = tokens.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("known"))
     rare = F.col("n") - F.size("known")
     length = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
-    found = ordered.join(sets.select("node", "n", "spans"), "node").withColumn("room", (length - rare).cast("int")).where("room > 0")
-    found = found.select("node", "n", "spans", rare.alias("rare"), F.posexplode(F.slice("known", F.lit(1), F.col("room"))).alias("i", "x"))
-    postings = _table(found.select(F.col("x.token").alias("token"), "node", "n", "rare", "spans", (F.col("rare") + F.col("i")).alias("place")), "postings")
+    found = ordered.join(sets.select("node", "n"), "node").withColumn("room", (length - rare).cast("int")).where("room > 0")
+    found = found.select("node", "n", rare.alias("rare"), F.posexplode(F.slice("known", F.lit(1), F.col("room"))).alias("i", "x"))
+    postings = _table(found.select(F.col("x.token").alias("token"), "node", "n", "rare", (F.col("rare") + F.col("i")).alias("place")), "postings")
     comps = _table(postings.select("node", F.col("node").alias("comp")).distinct(), "comps")
     tried: DataFrame | None = None
     stars = True
     for turn in range(STAR_ROUNDS + 1):
         listed = postings.join(comps, "node")
         # The set with the fewest shingles of its own is the likeliest centre of a group.
-        leads = F.min_by(F.struct("node", "n", "rare", "place", "spans", "comp"), F.struct("rare", F.xxhash64("node", F.lit(turn)))).alias("lead")
+        leads = F.min_by(F.struct("node", "n", "rare", "place", "comp"), F.struct("rare", F.xxhash64("node", F.lit(turn)))).alias("lead")
         open_ = listed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), leads).where("c1 <> c2")
         rest = listed.join(open_.select("token"), "token", "left_semi")
         last = not stars or turn == STAR_ROUNDS
@@ -296,7 +315,7 @@ def _linked_components(sets: DataFrame, percent: int) -> DataFrame:
             # Shingles of a set's open lists, in the common order.
             own = rest.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x.token).alias("listed"))
             rest = rest.join(own, "node")
-        pairs = _pairs(rest, rest, percent, True) if last else _pairs(open_.select("token", "lead.*"), rest, percent, False)
+        pairs = _pairs(rest, rest, sets, percent, True) if last else _pairs(open_.select("token", "lead.*"), rest, sets, percent, False)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         done = _table(_verified(pairs, sets, percent), "verified")
@@ -319,7 +338,7 @@ def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int, keep
     per_range = max(64, min(FILTER_BITS, max(1 << 20, total)) // ranges // 8 * 8)
     bits = repeated_filter(docs, text, size, ranges, per_range)
     sets = _suspects(docs, text, size, percent, bits, ranges, per_range).groupBy("fp").agg(F.first("n").alias("n"), F.first("spans").alias("spans"), F.first("tokens").alias("tokens"))
-    sets = _table(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    sets = _bucketed(_table(sets.withColumn("node", F.monotonically_increasing_id()), "numbered"), "sets", "node")
     comps = sets.select("fp", "node").join(_linked_components(sets, percent), "node", "left").select("fp", F.coalesce("comp", "node").alias("comp"))
     # A text whose set is not in that table is linked with nothing.
     return rows.join(comps, "fp", "left").drop("fp")
@@ -342,8 +361,22 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     That is the one with the smallest key (no key comes last), of equal keys any one. Rows that are
     linked with nothing all stay, whatever their keys are.
     """
-    numbered = _table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", "zstd")
-    named = _table(_grouped(numbered, key, text, size, percent, ("__row",)).where("comp is not null").select("id", "__row", "comp"), "named")
-    first = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row"))["__row"].alias("stays"))
-    gone = named.join(first, "comp").where("__row <> stays").select("__row")
-    return numbered.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, part = _unused(docs, "__row"), _unused(docs, "__part")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(part, F.shiftright(row, 33))
+    numbered = _bucketed(numbered, "numbered", part, "zstd", True)
+    named = _table(_grouped(numbered, key, text, size, percent, (row,)).where("comp is not null").select("id", F.col(row).alias("row"), "comp"), "named")
+    first = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("stays"))
+    gone = named.join(first, "comp").where("row <> stays")
+    # what goes of each written part (no more rows than a task read) comes to the part; the texts stay where they are
+    lost = _unused(docs, "__gone")
+    gone = gone.groupBy(F.shiftright("row", 33).alias(part)).agg(F.collect_list("row").alias(lost))
+    stays = ~F.coalesce(F.array_contains(lost, F.col(row)), F.lit(False))
+    return numbered.join(gone, part, "left").where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """``name``, with more underscores where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
