@@ -51,24 +51,42 @@ def label_trades(
     call or sold put gains when it rises; everything else, mid prints included, when it
     falls. The outcome per (ticker, day) is computed on the bars, so trades are joined once.
     """
-    j = trades.join(label_window(bars, horizon), ["ticker", "trade_date"], "left")
+    j = _with_gain(trades.join(label_window(bars, horizon), ["ticker", "trade_date"], "left"))
+    hit = is_pending(as_of, horizon) & F.col("settle").isNotNull() & F.col("underlier_price").isNotNull()
+    j = j.withColumn("_hit", hit)
+    new = {
+        "labeled": F.lit(True),
+        **_success_and_returns(threshold),
+        "evaluation_date": F.date_add("trade_date", horizon),
+    }
+    j = j.withColumns({n: F.when(F.col("_hit"), e).otherwise(F.col(n)) for n, e in new.items()})
+    return j.drop("settle", "low", "high", "_gain", "_worst", "_hit")
+
+
+def _with_gain(j: DataFrame) -> DataFrame:
+    """Signed and worst return of rows with the last, lowest and highest close of their window."""
     start = F.col("underlier_price")
     up = ((F.col("option_type") == "Call") & (F.col("side") == "BUY")) | (
         (F.col("option_type") == "Put") & (F.col("side") == "SELL")
     )
     gain = F.try_divide(F.when(up, F.col("settle") - start).otherwise(start - F.col("settle")), start)
     worst = F.try_divide(F.when(up, F.col("low") - start).otherwise(start - F.col("high")), start)
-    hit = is_pending(as_of, horizon) & F.col("settle").isNotNull() & start.isNotNull()
-    j = j.withColumns({"_gain": gain, "_worst": worst, "_hit": hit})
-    new = {
-        "labeled": F.lit(True),
+    return j.withColumns({"_gain": gain, "_worst": worst})
+
+
+def _success_and_returns(threshold: float) -> dict[str, Column]:
+    return {
         "label_success": F.coalesce((F.col("_gain") >= threshold).cast("int"), F.lit(0)),
         "observed_return": F.round("_gain", 4),
         "max_adverse_return": F.round("_worst", 4),
-        "evaluation_date": F.date_add("trade_date", horizon),
     }
-    j = j.withColumns({n: F.when(F.col("_hit"), e).otherwise(F.col(n)) for n, e in new.items()})
-    return j.drop("settle", "low", "high", "_gain", "_worst", "_hit")
+
+
+def outcome(settled: DataFrame, threshold: float = 0.03) -> DataFrame:
+    """Labels (id, labeled, label_success, observed_return, max_adverse_return) of rows with their window's closes."""
+    hit = F.col("settle").isNotNull() & F.col("underlier_price").isNotNull()
+    values = {n: F.when(hit, e) for n, e in _success_and_returns(threshold).items()}
+    return _with_gain(settled).select("id", hit.alias("labeled"), *[e.alias(n) for n, e in values.items()])
 
 
 def relabel(trades: DataFrame, threshold: float) -> DataFrame:

@@ -100,6 +100,7 @@ def bs(s: str, k: str, t: str, v: str) -> tuple[str, str]:
     return d1, f"({d1} - {v} * sqrt({t}))"
 
 
+CATS = ("option_type", "side", "trend_alignment", "dte_bucket")
 PARAM_ROWS = values(reg.SETS)
 RULES = f"""
  case strategy_type
@@ -136,6 +137,18 @@ def walk_model(train_rule: str) -> str:
  join ({every}) e on e.k = w.fold where w.fold >= 0"""
 
 
+def labels(pending: str) -> str:
+    return f"""with w as (select t.id, max_by(b.close, b.bar_date) as settle, min(b.close) as low, max(b.close) as high
+   from trades t join bars b on t.ticker = b.ticker and b.bar_date between t.trade_date and t.trade_date + 10 group by t.id),
+ g as (select t.*, w.settle is not null and t.underlier_price is not null and {pending} as labeled,
+   case when {SIDE_UP} then settle - underlier_price else underlier_price - settle end / underlier_price as gain,
+   case when {SIDE_UP} then low - underlier_price else underlier_price - high end / underlier_price as worst
+   from trades t left join w on t.id = w.id)
+ select * exclude (gain, worst), case when labeled then cast(gain >= 0.03 as int) end as label_success,
+  case when labeled then round(gain, 4) end as observed_return, case when labeled then round(worst, 4) end as max_adverse_return,
+  case when labeled then trade_date + 10 end as evaluation_date, {BUCKET} as dte_bucket from g"""
+
+
 BLOCKS = {
     "bars": """with x as (
   select concat('T0', cast(l_suppkey % 10 as varchar)) as ticker, cast(l_shipdate as date) as bar_date,
@@ -175,15 +188,8 @@ BLOCKS = {
   where case when anyin then inside and r <= 6 else ra <= 4 end) s using (ticker, snapshot_date, expiration)""",
     "near_ratioed": f"""select *, {RATIO} as vol_oi_ratio from (select * replace (case when max(volume) over w <= 0 and max(open_interest) over w > 0
   then open_interest else volume end as volume) from near window w as (partition by ticker, snapshot_date)) where volume > 0""",
-    "labeled": f"""with w as (select t.id, max_by(b.close, b.bar_date) as settle, min(b.close) as low, max(b.close) as high
-   from trades t join bars b on t.ticker = b.ticker and b.bar_date between t.trade_date and t.trade_date + 10 group by t.id),
- g as (select t.*, w.settle is not null and t.underlier_price is not null and t.ts <= {AS_OF} - interval 10 day as labeled,
-   case when {SIDE_UP} then settle - underlier_price else underlier_price - settle end / underlier_price as gain,
-   case when {SIDE_UP} then low - underlier_price else underlier_price - high end / underlier_price as worst
-   from trades t left join w on t.id = w.id)
- select * exclude (gain, worst), case when labeled then cast(gain >= 0.03 as int) end as label_success,
-  case when labeled then round(gain, 4) end as observed_return, case when labeled then round(worst, 4) end as max_adverse_return,
-  case when labeled then trade_date + 10 end as evaluation_date, {BUCKET} as dte_bucket from g""",
+    "labeled": labels(f"t.ts <= {AS_OF} - interval 10 day"),
+    "settled": labels("true"),
     "feat": f"select *, {CELL} as cell from labeled where {IN_BANDS}",
     "halved": "select *, ((id % 1000003) * 7919 + 42 * 104729) % 1009 < 201 as is_test from feat",
     "cells": f"{quantile_model('halved where not is_test', 'cell')} union all "
@@ -561,6 +567,28 @@ BODIES = {
     "training_filter": f"select id, observed_return from labeled where is_synthetic = 1 and {IN_BANDS}",
     "label_trades": f"""select id, {tri('labeled')}, coalesce(cast(label_success as double), -9) as label_success, coalesce(observed_return, -9) as observed_return,
  coalesce(max_adverse_return, -9) as max_adverse_return, coalesce(cast(evaluation_date as varchar), '') as evaluation_date from labeled""",
+    "label_merge": f"""select id, {tri('labeled')}, coalesce(cast(label_success as double), -9) as label_success, coalesce(observed_return, -9) as observed_return,
+ coalesce(max_adverse_return, -9) as max_adverse_return, coalesce(cast(evaluation_date as varchar), '') as evaluation_date from labeled""",
+    "stream_settle": f"""select id, {tri('labeled')}, coalesce(cast(label_success as double), -9) as label_success, coalesce(observed_return, -9) as observed_return,
+ coalesce(max_adverse_return, -9) as max_adverse_return from settled where trade_date + 11 <= (select max(x) from (select max(ts) as x from trades union all select max(bar_date) from bars))""",
+    "append_indexed": f"""select id, ticker, {ts('ts')}, strike, option_type, ensemble_id from trades t where id % 3 <> 0 or not exists (
+ select 1 from trades u where u.id % 3 <> 0 and u.ts = t.ts and u.ticker = t.ticker and u.strike = t.strike and u.option_type = t.option_type and u.ensemble_id = t.ensemble_id)""",
+    "asof_tick": f"""with q as (select *, concat('T0', user_id % 10) as ticker from events where event_type in ('view', 'click', 'error')),
+ r as (select *, concat('T0', user_id % 10) as ticker from events where event_type in ('purchase', 'signup'))
+ select r.event_id, r.ticker, coalesce(q.value, -1) as quote, coalesce(q.event_id, -1) as quote_id from r asof left join q on r.ticker = q.ticker and r.ts >= q.ts""",
+    "interval_join": f"""with i as (select event_id, user_id % 10 as k, ts as a, ts + to_seconds({list(reg.SPANS)}[event_id % {len(reg.SPANS)} + 1]) as b from events where event_type = 'signup'),
+ p as (select *, user_id % 10 as k from events where event_type in ('purchase', 'view'))
+ select i.event_id as interval_id, concat('T0', i.k) as ticker, count(*) as n, round(sum(p.value), 6) as total, min(p.event_id) as least
+ from i join p on p.k = i.k and p.ts between i.a and i.b group by all""",
+    "boosted_histogram": f"""with t as (select *, (strike - underlier_price) / underlier_price as moneyness from halved where not is_test),
+ n as (select observed_return as y, unnest({list(reg.BOOSTED)}) as feature, unnest([{', '.join(f'cast({c} as double)' for c in reg.BOOSTED)}]) as v from t),
+ e as (select feature, list_distinct(list_transform(quantile_cont(v, [{', '.join(f'{i} / cast(31 as double)' for i in range(1, 31))}]), lambda x: round(x, 9))) as edges from n where v is not null group by feature),
+ c as (select observed_return as y, unnest({list(CATS)}) as feature, unnest([{', '.join(CATS)}]) as v from t),
+ l as (select feature, v, row_number() over (partition by feature order by count(*) desc, v) as r from c where v is not null group by feature, v),
+ b as (select y, feature, case when v is null then 0 else 1 + len(list_filter(edges, lambda x: x < v)) end as bin from n join e using (feature)
+  union all select y, c.feature, case when c.v is null then 0 when r <= 30 then r else 31 end from c left join l on c.feature = l.feature and c.v = l.v),
+ s as (select unnest({Q5}) as quantile, unnest(quantile_cont(observed_return, {Q5})) as start from t)
+ select cast(s.quantile as double) as quantile, feature, cast(bin as int) as bin, count(*) as n, count(*) filter (y < start) as under from b cross join s group by all""",
     "relabel_on_read": f"""select id, {tri('labeled')}, case when labeled then cast(observed_return >= 0.1 as int) + 0e0 else -9 end as label_success,
  coalesce(observed_return, -9) as observed_return, coalesce(max_adverse_return, -9) as max_adverse_return from labeled""",
     "pending_labels": f"select id, {ts('ts')}, is_synthetic from labeled where (is_synthetic = 0 or not labeled) and ts <= {AS_OF} - interval 10 day",

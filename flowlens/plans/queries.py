@@ -11,14 +11,15 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.functions import pricing as px, quotes as q, signals as sg
-from flowlens.operators import audit, backtest as bt, features as ft, joins, labels as lb, model as md
+from flowlens.operators import audit, backtest as bt, boosting as bo, features as ft, intervals as iv, joins, labels as lb, model as md
 from flowlens.operators import paths, scan as sc, sweep as sw, validate as va, vol, walkforward as wf
 from flowlens.operators.scale import materialize
 from flowlens.session import ROCKSDB, scratch_path
-from flowlens.sources import adapters as ad, tables as tb
-from flowlens.streaming import flow as st
+from flowlens.sources import adapters as ad, store, tables as tb
+from flowlens.streaming import flow as st, settle
 
 AS_OF = datetime.datetime(2001, 6, 30)
+EARLY = datetime.datetime(1996, 1, 1)
 TIES = ["ticker", "snapshot_date", "expiration", "strike", "option_type", "k1", "k2", "k3"]
 QUOTE_ORDER = ["k1", "k2", "k3"]
 KEYS = ["k1", "k2", "k3"]
@@ -331,6 +332,30 @@ def atm_pair_join(s, d):
     return x.select("ticker", day("snapshot_date"), day("expiration"), "strike", "call_bid", "call_ask", "put_bid", "put_ask")
 
 
+def _ticks(s, d, *kinds: str) -> DataFrame:
+    """Events as intraday prints of ten tickers."""
+    e = ad._read(s, d, "events").where(F.col("event_type").isin(*kinds))
+    return e.select("event_id", F.concat(F.lit("T0"), (F.col("user_id") % 10).cast("string")).alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+def asof_tick(s, d):
+    quotes = _ticks(s, d, "view", "click", "error").select("ticker", "ts", F.col("value").alias("quote"), F.col("event_id").alias("quote_id"))
+    x = iv.asof_tick(_ticks(s, d, "purchase", "signup"), quotes, ["ticker"], "ts", ["quote", "quote_id"])
+    return x.select("event_id", "ticker", F.coalesce("quote", F.lit(-1.0)).alias("quote"), F.coalesce("quote_id", F.lit(-1)).alias("quote_id"))
+
+
+#: Interval lengths from a second to a year.
+SPANS = (1, 600, 21_600, 259_200, 2_592_000, 31_536_000)
+
+
+def interval_join(s, d):
+    """Prints inside intervals of very different lengths, summed up per interval."""
+    span = F.element_at(F.array(*[F.lit(x) for x in SPANS]), (F.col("event_id") % len(SPANS) + 1).cast("int"))
+    held = _ticks(s, d, "signup").select(F.col("event_id").alias("interval_id"), "ticker", F.col("ts").alias("from_ts"), F.timestamp_add("SECOND", span, F.col("ts")).alias("to_ts"))
+    x = iv.interval_join(_ticks(s, d, "purchase", "view"), held, ["ticker"], "ts", "from_ts", "to_ts")
+    return x.groupBy("interval_id", "ticker").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value"), "total"), F.min("event_id").alias("least"))
+
+
 def universe_semi(s, d):
     t = labeled(s, d)
     return joins.in_universe(t, lb.tier_a(t, 0.10, 10, 0.27)).select("id", "ticker")
@@ -548,6 +573,23 @@ def label_trades(s, d):
     return x.select("id", flag("labeled"), *label_cols(), F.coalesce(F.col("evaluation_date").cast("string"), F.lit("")).alias("evaluation_date"))
 
 
+def label_merge(s, d):
+    """A store of unlabelled trades, labelled in place twice: up to an early date, then up to the last one."""
+    path, b = scratch_path(s, "label-store"), materialize(bars(s, d))
+    store.create(trades(s, d), path)
+    store.merge_labels(s, path, b, EARLY)
+    store.merge_labels(s, path, b, AS_OF)
+    return store.stored(s, path).select("id", flag("labeled"), *label_cols(), F.coalesce(F.col("evaluation_date").cast("string"), F.lit("")).alias("evaluation_date"))
+
+
+def append_indexed(s, d):
+    """Two thirds of the trades, then all of them, loaded into one store through its key index."""
+    path, x = scratch_path(s, "indexed-store"), materialize(trades(s, d))
+    store.append_batch(s, path, x.where(F.col("id") % 3 != 0))
+    store.append_batch(s, path, x)
+    return store.stored(s, path).select("id", "ticker", moment("ts"), "strike", "option_type", "ensemble_id")
+
+
 def relabel_on_read(s, d):
     return lb.relabel(labeled(s, d), 0.10).select("id", flag("labeled"), *label_cols())
 
@@ -588,6 +630,20 @@ def score_forest(s, d):
     return md.score_forest(test, forest).select("id", *quantile_cols())
 
 
+BOOSTED = ("strike", "volume", "open_interest", "vol_oi_ratio", "implied_vol", "underlier_price", "premium", "dte", "moneyness")
+
+
+def boosted_histogram(s, d):
+    """Gradient counts of all five quantiles by feature and bin, before the first split."""
+    model, rows = bo.start_boosted(halves(s, d)[0], numeric=BOOSTED)
+    return bo.root_histogram(rows, model)
+
+
+def score_boosted(s, d):
+    train, test = halves(s, d)
+    return bo.score_boosted(test, bo.fit_boosted(train, numeric=BOOSTED)).select("id", *quantile_cols())
+
+
 def feature_importance(s, d):
     forest, test = _forest(s, d)
     return md.importance(forest, test)
@@ -690,6 +746,14 @@ def walkforward_sketch(s, d):
     return x.select("id", "fold", *quantile_cols(), r6("p_success"))
 
 
+def walkforward_tree(s, d):
+    """Walk-forward whose cells are the leaves of a tree grown on the rows before the first fold."""
+    rows = walk_rows(s, d)
+    model = bo.fit_boosted(rows.where("fold = -1"), numeric=BOOSTED, rounds=1)
+    x = wf.walkforward_predict(bo.with_leaf(rows, model), keys=["leaf"])
+    return x.select("id", "fold", "leaf", *quantile_cols(), r6("p_success"))
+
+
 def in_sample_predict(s, d):
     x = featured(s, d)
     x = wf.in_sample_predict(x, md.fit_cells(x), confirm=True)
@@ -903,6 +967,18 @@ def stream_scan_summary(s, d):
     return st.latest_summary(s, out).select(moment("window_start"), *SUMMARY_COLS)
 
 
+def stream_settle(s, d):
+    """Trades and bars as streams; labels leave when the horizon of a trade has passed."""
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    tables = materialize(trades(s, d)), materialize(bars(s, d))
+    streams = [s.readStream.schema(t.schema).parquet(t.inputFiles()[0].rsplit("/", 1)[0]) for t in tables]
+    out, checkpoint = scratch_path(s, "settled"), scratch_path(s, "settle-state")
+    x = settle.settle_stream(*streams)
+    run = x.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return s.read.schema(x.schema).parquet(out).select("id", flag("labeled"), *label_cols())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -922,7 +998,8 @@ QUERIES = {
         open_positions, live_eligibility, sweep, sweep_score, sweep_winner, sweep_heatmap, profitability_report, audit_overview,
         audit_by_ticker, feature_distribution, categorical_distribution, label_summary, balance, whale_crossing, dte_histogram,
         contingency, ks_two_sample, chi2_two_sample, decile_compare, label_rate_delta, validation_gate, topk_unusual,
-        sort_nulls_last, stream_whale_log, stream_scan_summary,
+        sort_nulls_last, stream_whale_log, stream_scan_summary, label_merge, append_indexed, asof_tick, interval_join, boosted_histogram,
+        score_boosted, walkforward_tree, stream_settle,
     )
 } | {
     "elig_whale_quality": _eligible("whale_quality"),
