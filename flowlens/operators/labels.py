@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import datetime
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions.pricing import lit
 from flowlens.operators.joins import label_window
+from flowlens.operators.scale import materialize
 
 LABELS = {
     "labeled": "boolean", "label_success": "int", "observed_return": "double", "max_adverse_return": "double",
@@ -137,15 +138,16 @@ def dedup_12h(
 
     Rows of one key and instant are reduced to the lowest id first. A key with at most
     ``max_group`` instants is folded as one sorted array. A larger key is cut into days
-    which are solved side by side: each day is summarised as "enter after x, leave at y",
-    the summaries are chained per key, and every day is then walked from its true entry.
+    which are solved side by side: each day is summarised as a step function "enter after x,
+    leave at y", a prefix scan composes them, and every day is then walked from its true entry.
     The trade log's clock has whole seconds, so a key's day holds at most 86 400 instants.
     """
     gap = int(hours * 3_600_000_000)
     points = df.groupBy(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")).agg(F.min(id).alias("_id"))
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > max_group).select(*keys)
-    cold = points.join(hot, keys, "left_anti")
+    hot = materialize(sizes.where(F.col("_n") > max_group).select(*keys))
+    some = not hot.isEmpty()
+    cold = points.join(hot, keys, "left_anti") if some else points
     start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -155,7 +157,7 @@ def dedup_12h(
 
     ordered = F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), F.col("_id").cast("bigint").alias("id"))))
     folded = cold.groupBy(*keys).agg(ordered.alias("a")).select(F.explode(F.aggregate("a", start, step)["kept"]).alias(id))
-    kept = folded.unionByName(_dedup_by_day(points.join(hot, keys, "left_semi"), keys, gap, id))
+    kept = folded.unionByName(_dedup_by_day(points.join(hot, keys, "left_semi"), keys, gap, id)) if some else folded
     return df.join(kept, [id], "left_semi")
 
 
@@ -182,21 +184,8 @@ def _dedup_by_day(points: DataFrame, keys: Sequence[str], gap: int, id: str) ->
         entries = min(len(t), int(np.searchsorted(t, pdf["_day"].iloc[0] * span + gap, side="right")) + 1)
         leave = t[last[:entries]]
         ends = np.flatnonzero(np.append(leave[1:] != leave[:-1], True))
-        r = pd.DataFrame({k: [pdf[k].iloc[0]] * len(ends) for k in keys})
-        return r.assign(_day=pdf["_day"].iloc[0], _upto=t[ends], _leave=leave[ends])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Follow the summaries from day to day; gives the instant each day is entered after."""
-        pdf = pdf.sort_values(["_day", "_upto"])
-        after, rows = None, []
-        for day, g in pdf.groupby("_day", sort=True):
-            upto, leave = g["_upto"].tolist(), g["_leave"].tolist()
-            i = 0 if after is None else bisect_right(upto, after)
-            if i < len(upto):
-                rows.append((day, -(2**62) if after is None else after))
-                after = leave[i] + gap
-        r = pd.DataFrame({k: [pdf[k].iloc[0]] * len(rows) for k in keys})
-        return r.assign(_day=[d for d, _ in rows], _after=[a for _, a in rows])
+        r = pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys})
+        return r.assign(_day=pdf["_day"].iloc[0], _upto=[t[ends].tolist()], _leave=[leave[ends].tolist()])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_t")
@@ -207,7 +196,49 @@ def _dedup_by_day(points: DataFrame, keys: Sequence[str], gap: int, id: str) ->
             i = int(nxt[i])
         return pd.DataFrame({id: pdf["_id"].to_numpy()[kept]})
 
-    parts = days.groupBy(*keys, "_day").applyInPandas(summarise, out("_day", "_upto", "_leave"))
-    entry = parts.groupBy(*keys).applyInPandas(chain, out("_day", "_after"))
-    started = days.join(entry, [*keys, "_day"], "inner")
+    steps = T.StructType([*out("_day").fields, *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("_upto", "_leave")]])
+    parts = days.groupBy(*keys, "_day").applyInPandas(summarise, steps)
+    started = days.join(_entries(parts, keys, gap), [*keys, "_day"], "inner")
     return started.groupBy(*keys, "_day").applyInPandas(walk, T.StructType([T.StructField(id, T.LongType())]))
+
+
+def _composed(before: tuple[list[int], list[int]], after: tuple[list[int], list[int]], gap: int) -> tuple[list[int], list[int]]:
+    """Two step functions "enter after x below ``upto``, leave at ``leave``" one after the other, equal steps merged."""
+    upto, leave = [], []
+    for u, v in zip(*before):
+        i = bisect_right(after[0], v + gap)
+        upto.append(u)
+        leave.append(after[1][i] if i < len(after[0]) else v)
+    i = bisect_right(after[0], before[0][-1])
+    upto, leave = upto + after[0][i:], leave + after[1][i:]
+    kept = [j for j in range(len(upto)) if j + 1 == len(upto) or leave[j] != leave[j + 1]]
+    return [upto[j] for j in kept], [leave[j] for j in kept]
+
+
+def _entries(parts: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """(keys, _day, _after): the instant after which each day is entered, by a prefix scan over the days of a key.
+
+    Composing step functions is associative: in round r each day's function takes in that of 2^r days before, so
+    log2(days) rounds of equi-joins give the functions of all days up to each one. No task holds a key.
+    """
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("_day"))  # one short row a day
+    numbers = materialize(parts.select(*keys, "_day").withColumn("_i", place))
+    scan = materialize(parts.join(numbers, [*keys, "_day"]))
+    most = numbers.agg(F.max("_i")).first()[0] or 0
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            both = [
+                (list(u), list(v)) if pu is None else _composed((list(pu), list(pv)), (list(u), list(v)), gap)
+                for u, v, pu, pv in zip(pdf["_upto"], pdf["_leave"], pdf["_pu"], pdf["_pv"])
+            ]
+            yield pdf.drop(columns=["_pu", "_pv"]).assign(_upto=[x[0] for x in both], _leave=[x[1] for x in both])
+
+    reach = 1
+    while reach < most:
+        earlier = scan.select(*keys, (F.col("_i") + reach).alias("_i"), F.col("_upto").alias("_pu"), F.col("_leave").alias("_pv"))
+        scan = materialize(scan.join(earlier, [*keys, "_i"], "left").select(*scan.columns, "_pu", "_pv").mapInPandas(compose, scan.schema))
+        reach *= 2
+    # a first day is entered after nothing; any other one after what the days before it leave
+    left = scan.select(*keys, (F.col("_i") + 1).cast("int").alias("_i"), (F.element_at("_leave", 1) + F.lit(gap)).alias("_after"))
+    return numbers.join(left, [*keys, "_i"], "left").select(*keys, "_day", F.coalesce("_after", F.lit(-(2**62)).cast("long")).alias("_after"))

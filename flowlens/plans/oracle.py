@@ -589,6 +589,17 @@ BODIES = {
   union all select y, c.feature, case when c.v is null then 0 when r <= 30 then r else 31 end from c left join l on c.feature = l.feature and c.v = l.v),
  s as (select unnest({Q5}) as quantile, unnest(quantile_cont(observed_return, {Q5})) as start from t)
  select cast(s.quantile as double) as quantile, feature, cast(bin as int) as bin, count(*) as n, count(*) filter (y < start) as under from b cross join s group by all""",
+    "garman_klass_fine": f"""with h as (select concat('T0', user_id % 10) as ticker, date_trunc('hour', ts) as hour, min_by(value, row(ts, event_id)) as open,
+  max_by(value, row(ts, event_id)) as close, max(value) as high, min(value) as low from events group by all),
+ v as (select *, 0.5 * pow(ln(high / low), 2) - (2 * ln(cast(2 as double)) - 1) * pow(ln(close / open), 2) as v from h)
+ select ticker, {ts('hour')}, round(case when count(v) over w >= 5 then sqrt(greatest(avg(v) over w, 1e-6)) * sqrt(252) else 0.25 end, 6) as gk_vol
+ from v window w as (partition by ticker order by hour rows between 19 preceding and current row)""",
+    "sma_flags_fine": f"""with h as (select concat('T0', user_id % 10) as ticker, date_trunc('hour', ts) as hour, max_by(value, row(ts, event_id)) as close from events group by all),
+ r as (select * from (select *, max(hour) over (partition by ticker) as mx from h) where hour > mx - interval 20 day),
+ a as (select ticker, hour, mx, close, count(*) over (partition by ticker) as n, avg(close) over (partition by ticker order by hour rows between 49 preceding and current row) as s50,
+  avg(close) over (partition by ticker order by hour rows between 199 preceding and current row) as s200 from r),
+ f as (select ticker, case when n >= 50 then close > s50 end as above50, case when n >= 200 then close > s200 end as above200 from a where hour = mx)
+ select ticker, {tri('above50')}, {tri('above200')} from f""",
     "relabel_on_read": f"""select id, {tri('labeled')}, case when labeled then cast(observed_return >= 0.1 as int) + 0e0 else -9 end as label_success,
  coalesce(observed_return, -9) as observed_return, coalesce(max_adverse_return, -9) as max_adverse_return from labeled""",
     "pending_labels": f"select id, {ts('ts')}, is_synthetic from labeled where (is_synthetic = 0 or not labeled) and ts <= {AS_OF} - interval 10 day",
@@ -714,6 +725,10 @@ BODIES = {
     "topk_unusual": f"""select ticker, {d('snapshot_date', 'expiration')}, strike, option_type, vol_oi_ratio, {half_up('volume * last_price * 100', 2)} as premium,
  case when bid = ask then 'MID' when last_price >= ask then 'BUY' when last_price <= bid then 'SELL' when last_price > (bid + ask) / 2 then 'BUY'
  when last_price < (bid + ask) / 2 then 'SELL' else 'MID' end as side, {K} from (
+ select * from near_ratioed where vol_oi_ratio >= 8 order by vol_oi_ratio desc, ticker, snapshot_date, expiration, strike, option_type, {K} limit 100)""",    
+    "stream_topk": f"""select ticker, {d('snapshot_date', 'expiration')}, strike, option_type, vol_oi_ratio, {half_up('volume * last_price * 100', 2)} as premium,
+ case when bid = ask then 'MID' when last_price >= ask then 'BUY' when last_price <= bid then 'SELL' when last_price > (bid + ask) / 2 then 'BUY'
+ when last_price < (bid + ask) / 2 then 'SELL' else 'MID' end as side, {K} from (
  select * from near_ratioed where vol_oi_ratio >= 8 order by vol_oi_ratio desc, ticker, snapshot_date, expiration, strike, option_type, {K} limit 100)""",
     "sort_nulls_last": "select id, coalesce(observed_return, -9) as observed_return from labeled",
     "stream_whale_log": f"""with recursive w as (select * from raw where vol_oi_ratio >= 5),

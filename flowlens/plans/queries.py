@@ -11,7 +11,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.functions import pricing as px, quotes as q, signals as sg
-from flowlens.operators import audit, backtest as bt, boosting as bo, features as ft, intervals as iv, joins, labels as lb, model as md
+from flowlens.operators import audit, backtest as bt, boosting as bo, features as ft, fine, intervals as iv, joins, labels as lb, model as md
 from flowlens.operators import paths, scan as sc, sweep as sw, validate as va, vol, walkforward as wf
 from flowlens.operators.scale import materialize
 from flowlens.session import ROCKSDB, scratch_path
@@ -441,6 +441,21 @@ def latest_vix(s, d):
     return vol.latest_vix(ad.vix(bars(s, d))).select(r6("vix"))
 
 
+def _hourly(s, d) -> DataFrame:
+    """Hourly bars of the intraday prints."""
+    x = _ticks(s, d, "view", "click", "error", "purchase", "signup").withColumn("hour", F.date_trunc("hour", "ts"))
+    first = [F.min_by("value", F.struct("ts", "event_id")).alias("open"), F.max_by("value", F.struct("ts", "event_id")).alias("close")]
+    return x.groupBy("ticker", "hour").agg(*first, F.max("value").alias("high"), F.min("value").alias("low"))
+
+
+def garman_klass_fine(s, d):
+    return fine.garman_klass(_hourly(s, d), "hour", block=5000).select("ticker", moment("hour"), r6("gk_vol"))
+
+
+def sma_flags_fine(s, d):
+    return fine.sma_flags(_hourly(s, d), "hour", "20 days", block=5000).select("ticker", flag("above50"), flag("above200"))
+
+
 def garman_klass(s, d):
     return vol.garman_klass(bars(s, d)).select("ticker", day("bar_date"), r6("gk_vol"))
 
@@ -933,12 +948,19 @@ def validation_gate(s, d):
 # ---- sorts and streams ---------------------------------------------------------------
 
 
-def topk_unusual(s, d):
+def _unusual(s, d) -> DataFrame:
     near = sc.with_ratio(sc.offhours_volume(sc.coerce_numeric(tb.select_expirations(chain(s, d)))))
-    x = sc.topk_unusual(sc.quote_columns(sc.unusual(near, LEAST_RATIO)), 100, TIES)
+    return sc.quote_columns(sc.unusual(near, LEAST_RATIO))
+
+
+def _top_columns(x: DataFrame) -> DataFrame:
     return x.select("ticker", day("snapshot_date"), day("expiration"), "strike", "option_type", "vol_oi_ratio", "premium", "side", *KEYS)
 
 
+def topk_unusual(s, d):
+    return _top_columns(sc.topk_unusual(_unusual(s, d), 100, TIES))
+
+
 def sort_nulls_last(s, d):
     x = labeled(s, d).withColumn("observed_return", F.when(F.col("labeled"), F.col("observed_return")))
     x = sc.sort_any(x, "observed_return", True, ["id"])
@@ -967,6 +989,16 @@ def stream_scan_summary(s, d):
     return st.latest_summary(s, out).select(moment("window_start"), *SUMMARY_COLS)
 
 
+def stream_topk(s, d):
+    """The flow as a stream; the list is kept up to date batch by batch."""
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    table = materialize(_unusual(s, d).select("ticker", "snapshot_date", "expiration", "strike", "option_type", "vol_oi_ratio", "premium", "side", *KEYS))
+    flow = s.readStream.schema(table.schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
+    path = scratch_path(s, "topk")
+    st.stream_topk(flow, 100, TIES, path, scratch_path(s, "topk-state")).awaitTermination()
+    return _top_columns(st.latest_topk(s, path, table.schema))
+
+
 def stream_settle(s, d):
     """Trades and bars as streams; labels leave when the horizon of a trade has passed."""
     s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -999,7 +1031,7 @@ QUERIES = {
         audit_by_ticker, feature_distribution, categorical_distribution, label_summary, balance, whale_crossing, dte_histogram,
         contingency, ks_two_sample, chi2_two_sample, decile_compare, label_rate_delta, validation_gate, topk_unusual,
         sort_nulls_last, stream_whale_log, stream_scan_summary, label_merge, append_indexed, asof_tick, interval_join, boosted_histogram,
-        score_boosted, walkforward_tree, stream_settle,
+        score_boosted, walkforward_tree, stream_settle, stream_topk, garman_klass_fine, sma_flags_fine,
     )
 } | {
     "elig_whale_quality": _eligible("whale_quality"),

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -102,3 +103,75 @@ def stream_summary(flow: DataFrame, every: str = "5 minutes", delay: str = "10 m
         F.col("w.start").alias("window_start"), q.round_to(F.col("_avg"), 2).alias("avg_vol_oi"), "max_vol_oi",
         "call_volume", "put_volume", ratio.alias("put_call_ratio"), "whale_count",
     )
+
+
+class Best(StatefulProcessor):
+    """State of a shard: the sort keys of its best ``k`` rows so far."""
+
+    def __init__(self, k: int, keys: T.StructType, columns: Sequence[str]):
+        self.k, self.keys, self.columns = k, keys, list(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getListState("best", self.keys)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = self.keys.names
+        held = pd.DataFrame([tuple(r) for r in self.best.get()] if self.best.exists() else [], columns=names).assign(__new=False)
+        for batch in rows:
+            # at most k rows besides the batch stay in memory
+            both = pd.concat([held, batch.assign(__new=True)]) if len(held) else batch.assign(__new=True)
+            held = both.sort_values(names, ascending=[False] + [True] * (len(names) - 1), kind="stable").head(self.k)
+        entered = held[held["__new"]]
+        if len(entered):
+            self.best.put([tuple(plain(v) for v in r) for r in held[names].itertuples(index=False)])
+        yield entered[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def plain(v):
+    """A value of a pandas cell as the state store takes it."""
+    return None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v.item() if hasattr(v, "item") else v
+
+
+def stream_topk(flow: DataFrame, k: int, ties: Sequence[str], path: str, checkpoint: str, column: str = "vol_oi_ratio", shards: int = 16) -> StreamingQuery:
+    """Keep the top ``k`` rows of a stream in versioned tables; ``latest_topk`` reads the newest one.
+
+    ``ties`` make the order total and are not NULL; rows without a value of ``column`` take no part.
+    Rows are dealt to shards by a hash; a shard's state holds its best ``k`` keys and lets through only rows that
+    enter them. Those meet the last version, and a new one is written only where it differs. A batch that is repeated
+    after a failure starts from the version before it, and so writes the same rows again.
+    """
+    names = flow.columns
+    order = [F.desc(column), *ties]
+    x = flow.where(F.col(column).isNotNull()).withColumn("__shard", F.pmod(F.xxhash64(*ties), F.lit(shards)).cast("int"))
+    keys = T.StructType([flow.schema[c] for c in (column, *ties)])
+    entered = x.groupBy("__shard").transformWithStateInPandas(
+        statefulProcessor=Best(k, keys, names), outputStructType=flow.schema, outputMode="Append", timeMode="None"
+    )
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = latest_topk(spark, path, flow.schema, before=number)
+        best = batch.select(*names).unionByName(old).orderBy(*order).limit(k)
+        # k rows at most
+        rows = best.collect()
+        if number == 0 or rows != old.orderBy(*order).collect():
+            spark.createDataFrame(rows, flow.schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return entered.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def latest_topk(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """The newest version (of those before a batch)."""
+    rows = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("version", T.LongType())]))
+    try:
+        rows = spark.read.schema(rows.schema).parquet(path)
+    except AnalysisException as ex:
+        if ex.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if before is not None:
+        rows = rows.where(F.col("version") < before)
+    newest = rows.agg(F.max("version")).first()[0]
+    return rows.where(F.col("version") == F.lit(newest)).select(*schema.names)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowlens.operators.labels import outcome
+from flowlens.streaming.flow import plain
 
 DAY_MS = 86_400_000
 
@@ -49,7 +50,7 @@ class Settle(StatefulProcessor):
                 self.window.update((last, settle, low, high))
             trades = batch[batch["bar_day"].isna()]
             if len(trades):
-                self.waiting.appendList([tuple(_plain(v) for v in r) for r in trades[self.carried.names].itertuples(index=False)])
+                self.waiting.appendList([tuple(plain(v) for v in r) for r in trades[self.carried.names].itertuples(index=False)])
         if first:
             # the first instant after the last day of the window
             self.handle.registerTimer((int(day) + self.horizon + 1) * DAY_MS)
@@ -66,10 +67,6 @@ class Settle(StatefulProcessor):
         pass
 
 
-def _plain(v):
-    return None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v.item() if hasattr(v, "item") else v
-
-
 #: What a waiting trade has to remember to be labelled; other columns stay in the stored row, found by id. The id
 #: travels as a text, since numbers beside unknown ones pass pandas as doubles.
 CARRIED = T.StructType(

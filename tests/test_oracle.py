@@ -13,7 +13,8 @@ CORE = (
     "first_per_ticker row_slice iv_smile expected_move bs_price greeks entry_cost mark_path path_outcome features label_trades dedup_12h fit_cell_quantiles "
     "monotonic_violations stratified_cv p_success classify_regime gaussian_signal walkforward_predict walkforward_purged elig_legacy "
     "ledger sweep_heatmap audit_by_ticker feature_distribution whale_crossing ks_two_sample chi2_two_sample validation_gate "
-    "topk_unusual stream_whale_log stream_scan_summary label_merge append_indexed asof_tick interval_join boosted_histogram stream_settle"
+    "topk_unusual stream_whale_log stream_scan_summary label_merge append_indexed asof_tick interval_join boosted_histogram stream_settle "
+    "stream_topk garman_klass_fine sma_flags_fine"
 ).split()
 ORACLE = entry.oracle_sql()
 NAMES = list(ORACLE) if os.environ.get("FLOWLENS_ALL") else CORE
