@@ -296,21 +296,54 @@ def test_lm_counts_cover_whole_texts(spark):
     assert (model.cls == one.cls).all() and np.allclose(model.seen, one.seen) and np.allclose(model.rest, one.rest)
 
 
-def test_lm_windows_grow_with_the_input(spark, monkeypatch):
-    monkeypatch.setattr(lm, "LEAST_WINDOWS", 100)
-    monkeypatch.setattr(lm, "SHARE", 8)
-    monkeypatch.setattr(lm, "PART_WINDOWS", 300)
-    text = " ".join(f"w{i}" for i in range(2000))
-    found = []
-    for rows in (10, 40):
-        coded = lm._coded(spark.createDataFrame([(7, text)] * rows, "doc_id long, text string"), "text")
-        y, at = lm._sequences(pa.array([coded.first()["__ids"]]))
-        drawn, parts = lm._drawn(coded, rows * len(lm.places(at)[0]))
-        every = {w.tobytes() for w in lm.windows(y, at, *lm.places(at))[1].astype("<u2")}
-        own = [bytes(r["window"])[2 * lm.WINDOW :] for r in drawn.collect()]
-        assert set(own) <= every and parts == 1 + rows * len(lm.places(at)[0]) // 8 // 300
-        found.append(len(own))
-    assert 3 < found[1] / found[0] < 5
+def test_lm_windows_grow_with_the_input():
+    """One share of the windows of whole texts, at any number of texts; each window in one round at most."""
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 50_000, 24 * 1000 - 5)
+    every = {w.tobytes() for w in lm.windows(y, np.array([0, len(y)]), *lm.places(np.array([0, len(y)])))[1]}
+    assert len(every) == 1000
+    drawn = []
+    for rows in (8, 64):
+        rounds = [[lm.drawn(np.array([row]), y, np.array([0, len(y)]), turn)[1] for row in range(rows)] for turn in range(lm.ROUNDS)]
+        assert all(w.tobytes() in every for part in rounds for t in part for w in t)
+        for row in range(rows):
+            own = [w.tobytes() for part in rounds for w in part[row]]
+            assert len(own) == len(set(own))
+        drawn.append(sum(len(t) for part in rounds for t in part))
+        assert abs(drawn[-1] - rows * 1000 / lm.SHARE) < 5 * math.sqrt(rows * 1000 / lm.SHARE)
+    late = {w.tobytes() for part in rounds for t in part for w in t}
+    assert lm.windows(y, np.array([0, len(y)]), np.array([0]), np.array([999]))[1].tobytes() in every and len(late) > 800
+
+
+def test_lm_attention_by_brute_force():
+    rng = np.random.default_rng(8)
+    model = lm.train([rng.integers(0, 500, 90).astype(np.uint32) for _ in range(30)])
+    y = np.append(rng.integers(0, 600, 77), lm.END)
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    total = 0.0
+    for t in range(len(y)):
+        first = t // lm.STEP * lm.STEP - (lm.WINDOW - lm.STEP)  # the window that scores place t
+        u = [y[i - 1] if i >= 1 else lm.BEGIN for i in range(first, t + 1)]
+        x = p["e"][u] + p["pos"][: len(u)]
+        w = np.exp((x[-1] @ p["q"]) @ (x @ p["k"]).T)
+        r = x[-1] + w / w.sum() @ (x @ p["v"])
+        z = np.maximum(r @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"]
+        total += (z[model.cls[y[t]]] - np.log(np.exp(z).sum())) / np.log(10) + float(model.within(model.before[np.array([u[-1]])], y[t : t + 1])[0])
+    assert model.log10(y, np.array([0, len(y)]))[0] == pytest.approx(total, rel=1e-5)
+
+
+def test_lm_beats_a_subword_unigram_on_held_out_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op8_lm_score(spark, sf).collect()
+    held = {r.doc_id: r for r in rows if r.held_out}
+    ids = {r.doc_id: np.append(encoded(lm._lowered(r.text), tokenizer_path()), lm.END).astype(np.int64) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    counts = sum(np.bincount(v, minlength=lm.VOCABULARY) for k, v in ids.items() if k not in held)
+    logs = np.log10((counts + 1) / (counts.sum() + lm.VOCABULARY))
+    n = sum(len(ids[k]) for k in held)
+    model, unigram = sum(r.score for r in held.values()) / n, sum(logs[ids[k]].sum() for k in held) / n
+    better = sum(r.score > logs[ids[k]].sum() for k, r in held.items()) / len(held)
+    print("log10 a token", model, unigram, "better texts", better)
+    assert model > unigram + 0.05 and better > 0.9
 
 
 def test_quality_rules(docs, awkward, empty):
