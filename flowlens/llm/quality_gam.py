@@ -221,7 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["id", "y", "x"])
 
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "id").select("id", "y", "t")
-    table = own.mapInArrow(measured, "id long, y double, x array<double>").orderBy("id", "x").toArrow()
+    # a repeated id gives one row, so at most ``rows`` rows come to the driver
+    one = own.mapInArrow(measured, "id long, y double, x array<double>").groupBy("id", "y").agg(F.min("x").alias("x"))
+    table = one.orderBy("id").toArrow()
     if not table.num_rows:
         return None
     return train(np.array(table.column("x").to_pylist()), table.column("y").to_numpy())
