@@ -28,6 +28,7 @@ BATCH = 128
 WIDTHS = (2, 3, 4, 5)
 DIM = 8
 FILTERS = 10
+PARTS = 64
 PER_LANG = 300
 WINDOWS_PER_TEXT = 4
 EPOCHS = 5
@@ -159,8 +160,11 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     rows = labelled.select(F.col(key).alias("id"), lang_.alias("lang"), text_.alias("text")).where("lang is not null and id is not null and text rlike '\\\\p{L}'")
     rows = rows.withColumn("h", F.xxhash64(F.col("id").cast("string"))).withColumn("t", F.xxhash64("text"))
     # A repeated id gives its second text when every id has given its first one. At most per_lang rows of a language leave a task.
-    of_id, of_lang = Window.partitionBy("lang", "id").orderBy("t"), Window.partitionBy("lang").orderBy("again", "h", "id", "t")
+    # A language's best rows are found among those of its parts, so that its rows are not one task's.
+    of_id = Window.partitionBy("lang", "id").orderBy("t")
+    of_part, of_lang = (Window.partitionBy("lang", *part).orderBy("again", "h", "id", "t") for part in (["part"], []))
     ids = rows.select("lang", "id", "h", "t").withColumn("again", F.row_number().over(of_id)).where(F.col("again") <= per_lang)
+    ids = ids.withColumn("part", F.pmod("h", F.lit(PARTS))).withColumn("nth", F.row_number().over(of_part)).where(F.col("nth") <= per_lang)
     ids = ids.withColumn("nth", F.row_number().over(of_lang)).where(F.col("nth") <= per_lang).select("lang", "id", "t").distinct()
 
     @F.arrow_udf("array<binary>")
