@@ -2,8 +2,9 @@
 
 A url is a set of tokens: scheme, host labels, path segments (digits as #), query keys, fragment.
 Labelled urls are transactions of their tokens and their label; FP-growth finds the frequent
-combinations, and rules that end in the label are kept by support and confidence, and only if no
-rule of fewer tokens among them is as confident. Each kept rule is indexed under its rarest token;
+combinations, and rules that end in the label are kept by support and confidence (the lower end of
+its Wilson interval, so few urls alone are no evidence), and only if no rule of fewer tokens among
+them is as confident. Each kept rule is indexed under its rarest token;
 a url meets only the rules of its own tokens, and a rule fires if the url has all of its tokens.
 
 Everything is built-in functions, joins and Spark's own FP-growth.
@@ -15,6 +16,8 @@ labelled url there is no mined rule. Extra columns are kept.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,8 +26,9 @@ from flowlens.llm.common import with_results
 #: (verdict, host, path): a rule holds for its host and all subdomains, below its path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 SUPPORT = 0.001
-LEAST = 25  # urls at least that a combination occurs in, however few are labelled
 CONFIDENCE = 0.5
+#: Deviations of the interval around a rule's confidence; its lower end has to reach the limit, at any size of the table.
+Z = 1.96
 BLOCK = "=block"
 
 
@@ -57,15 +61,25 @@ def label_key(url: Column) -> Column:
     return F.regexp_extract(host_and_path(url)[1], r"/([0-9]{1,18})[^/]*/?$", 1).try_cast("long")
 
 
-def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
+def least_sure(share: Column, n: Column, z: float = Z) -> Column:
+    """Lower end of the Wilson interval of a share among ``n``."""
+    spread = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return (share + z * z / (2 * n) - spread) / (1 + z * z / n)
+
+
+def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(anchor, antecedent, confidence, support) of the kept rules, from urls with a boolean label."""
     label = F.when(F.col(bad), F.lit(BLOCK)).otherwise("=allow")
     sets = labelled.where(F.col(bad).isNotNull()).select(tokens(F.col(url)).alias("items"), label.alias("label")).where("size(items) > 0")
     baskets = sets.select(F.concat("items", F.array("label")).alias("items"))
-    share = min(1.0, max(support, least / max(1, baskets.count())))
+    # with fewer urls than that, all of them bad, the lower end lies under the limit: no rule is lost by not looking
+    evidence = Z * Z * confidence / max(1 - confidence, 1e-9)
+    total = max(1, baskets.count())
+    share = min(1.0, max(support, math.floor(evidence) / total))
     model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
     one = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), F.col("freq"))
-    rules = model.associationRules.where(F.col("consequent")[0] == BLOCK).where("lift > 1").select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support")
+    rules = model.associationRules.where(F.col("consequent")[0] == BLOCK).where("lift > 1")
+    rules = rules.where(least_sure(F.col("confidence"), F.col("support") * total / F.col("confidence")) >= confidence).select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support")
     # The rarest token of a rule is its place in the index.
     places = rules.withColumn("token", F.explode("antecedent")).join(one, "token").groupBy("antecedent", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
     inner = places.select("anchor", F.col("antecedent").alias("less"), F.col("confidence").alias("sure"))

@@ -1,6 +1,8 @@
 """Chat formatting and URL filters against plain Python, and the pipeline stage by stage."""
 
 import hashlib
+import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +54,34 @@ def test_url_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == cases[r.url]
 
 
+def wilson(k, n, z=urls.Z):
+    p = k / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def test_no_rule_is_justified_by_the_given_labels(spark):
+    """The labels of the test pages do not depend on their urls; the query mines nothing and says so by its verdicts."""
+    sf = "/root/testdata/sf0.1"
+    from itertools import combinations
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    labels = {r.doc_id: r.q for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("q")).collect()}
+    rows = pages.select(urls.label_key(F.col("url")).alias("k"), urls.tokens(F.col("url")).alias("t")).where("k is not null").collect()
+    n, bad = Counter(), Counter()
+    known = [(r.t, labels[r.k] < 0.5) for r in rows if r.k in labels]
+    for t, b in known:
+        for size in range(1, len(t) + 1):
+            for c in combinations(sorted(t), size):
+                n[c] += 1
+                bad[c] += b
+    justified = {c for c in n if bad[c] >= 0.001 * len(known) and wilson(bad[c], n[c]) >= urls.CONFIDENCE and bad[c] / n[c] > sum(b for _, b in known) / len(known)}
+    kept = {c for c in justified if not any(set(d) < set(c) and bad[d] / n[d] >= bad[c] / n[c] for d in justified)}
+    tokens_of = {r.page_id: set(r.t) for r in pages.select("page_id", urls.tokens(F.col("url")).alias("t")).collect()}
+    for r in queries.op7_url_rules(spark, sf).collect():
+        if r.rule is None:
+            assert r.verdict == ("block" if any(set(c) <= tokens_of[r.page_id] for c in kept) else "allow")
+
+
 def test_mined_rules(spark):
     rows = [(f"https://spam.example.net/en/{i}", True) for i in range(40)] + [(f"https://good.example.net/en/{i}?page=1", i % 10 == 0) for i in range(100)] + [("https://rare.example.net/x", True), (None, True), ("https://a.b/c", None)]
     labelled = spark.createDataFrame(rows, "url string, bad boolean")
@@ -66,7 +96,7 @@ def test_mined_rules(spark):
     for n in range(1, 8):
         for s in {c for t, _ in baskets for c in combinations(sorted(t), n)}:
             own = [b for t, b in baskets if set(s) <= t]
-            if sum(own) >= urls.LEAST and sum(own) / len(own) >= 0.5 and sum(own) / len(own) > base:
+            if sum(own) >= 0.001 * len(baskets) and wilson(sum(own), len(own)) >= 0.5 and sum(own) / len(own) > base:
                 every[s] = sum(own) / len(own)
     expected = {s: c for s, c in every.items() if not any(set(x) < set(s) and d >= c for x, d in every.items())}
     assert got == pytest.approx(expected)
