@@ -47,13 +47,16 @@ def select_expirations(chain: DataFrame, lo: int = 0, hi: int = 90, n: int = 6,
     """
     key = ["ticker", "snapshot_date"]
     dates = chain.groupBy(*key, "expiration").agg(F.count(F.lit(1)).alias("_rows"))
-    inside = F.datediff("expiration", "snapshot_date").between(lo, hi)
+    inside = F.coalesce(F.datediff("expiration", "snapshot_date").between(lo, hi), F.lit(False))
     by_snapshot = W.partitionBy(*key)
-    rank = F.row_number().over(W.partitionBy(*key, "_in").orderBy("expiration"))
-    rank_any = F.row_number().over(by_snapshot.orderBy("expiration"))
+    so_far = by_snapshot.orderBy("expiration").rowsBetween(W.unboundedPreceding, 0)
+    # dates are distinct, so a running count of those inside is their rank: one sort serves both ranks
     kept = (
         dates.withColumn("_in", inside)
-        .select(*key, "expiration", "_in", rank.alias("_r"), rank_any.alias("_ra"), F.max("_in").over(by_snapshot).alias("_any"))
+        .select(
+            *key, "expiration", "_in", F.count_if("_in").over(so_far).alias("_r"), F.count(F.lit(1)).over(so_far).alias("_ra"),
+            F.max("_in").over(by_snapshot).alias("_any"),
+        )
         .where(F.when(F.col("_any"), F.col("_in") & (F.col("_r") <= n)).otherwise(F.col("_ra") <= fallback))
         .select(*key, "expiration")
     )
