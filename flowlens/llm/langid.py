@@ -206,7 +206,9 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
 
 
 def known_language(docs: DataFrame, net: Network | None, least: float, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with a score of at least ``least``."""
+    """The rows of ``docs`` whose language is recognised with a score of at least ``least``; all rows without a network."""
+    if net is None:
+        return docs
     names = [F.col(f"`{c}`") for c in docs.columns]
     judged = predict(docs.select(F.struct(*names).alias("__row"), F.col(text).alias("__text")), net, "__text")
     return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("__row.*")

@@ -141,3 +141,33 @@ def test_pipeline_stages(spark, sf):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()} and docs.count() > 100
     assert corpus_pipeline.run(spark, sf).count() == packed.count()
+
+
+def _odd(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __row long, __part long, `__gone` string, SCORE string, items int, `a b` int"
+    return spark.createDataFrame([(k, t, None, "web", None, 5, 6, "x", "mine", 7, 8) for k, t in rows], schema)
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, sf):
+    """Nulls in any column, empty, short and long texts, repeated rows, columns named like those the stages work with."""
+    good = " ".join(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(3).collect())
+    rows = [(None, None), (None, good), (1, None), (2, ""), (3, " \n"), (4, "one"), (5, good), (5, good), (5, "other words under the same id than those before"), (6, good + " x"), (7, "w " * 20_000)]
+    docs = _odd(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf)
+        assert kept.columns == docs.columns, name
+        got = [(r.doc_id, r.text) for r in kept.collect()]
+        assert all(got.count(x) <= rows.count(x) for x in got), name
+        if name == "language_id":
+            assert sorted(got, key=str) == sorted(rows, key=str)  # no label, so nothing is learnt and nothing goes
+        if name == "near_duplicates":
+            assert got.count((5, good)) == 1 and (6, good + " x") not in got and (None, good) not in got
+            assert all(x in got for x in rows if x[1] != good and x[0] != 6)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert {r.doc_id for r in packed} == {k for k, _ in rows}
+
+
+def test_stages_take_empty_tables(spark, sf):
+    docs = _odd(spark, [(1, "x")]).where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0, name
