@@ -100,6 +100,9 @@ def bs(s: str, k: str, t: str, v: str) -> tuple[str, str]:
     return d1, f"({d1} - {v} * sqrt({t}))"
 
 
+NUMS = (
+    "strike", "volume", "open_interest", "vol_oi_ratio", "implied_vol", "underlier_price", "premium", "dte", "moneyness", "iv_hv_ratio", "vix_level", "log_premium",
+)
 CATS = ("option_type", "side", "trend_alignment", "dte_bucket")
 PARAM_ROWS = values(reg.SETS)
 RULES = f"""
@@ -600,6 +603,17 @@ BODIES = {
   avg(close) over (partition by ticker order by hour rows between 199 preceding and current row) as s200 from r),
  f as (select ticker, case when n >= 50 then close > s50 end as above50, case when n >= 200 then close > s200 end as above200 from a where hour = mx)
  select ticker, {tri('above50')}, {tri('above200')} from f""",
+    "impute_fills": f"""with h as (select ticker, bar_date, case when count(ret) {OVER.format(62)} >= 5 then stddev_samp(ret) {OVER.format(62)} * sqrt(252) * 100 else 0 end as hv from (
+  select *, ln(close / lag(close) over (partition by ticker order by bar_date)) as ret from bars)),
+ t as (select t.*, (strike - underlier_price) / underlier_price as moneyness, case when h.hv > 0 then implied_vol / h.hv else 1 end as iv_hv_ratio,
+   coalesce(v.vix, 20) as vix_level, ln(1 + greatest(premium, 0)) as log_premium
+  from (select * from halved where not is_test) t asof left join h on t.ticker = h.ticker and t.trade_date >= h.bar_date
+  asof left join (select *, 1 as one from vix) v on v.one = 1 and t.trade_date >= v.vix_date),
+ n as (select unnest({list(NUMS)}) as feature, unnest([{', '.join(f'cast({c} as double)' for c in NUMS)}]) as v from t),
+ c as (select unnest({list(CATS)}) as feature, unnest([{', '.join(CATS)}]) as v from t),
+ m as (select feature, v, row_number() over (partition by feature order by count(*) desc, v) as r from c where v is not null group by feature, v)
+ select feature, round(quantile_cont(v, 0.5), 6) as median, '' as mode from n where v is not null group by feature
+ union all select feature, cast(-1 as double) as median, v as mode from m where r = 1""",
     "relabel_on_read": f"""select id, {tri('labeled')}, case when labeled then cast(observed_return >= 0.1 as int) + 0e0 else -9 end as label_success,
  coalesce(observed_return, -9) as observed_return, coalesce(max_adverse_return, -9) as max_adverse_return from labeled""",
     "pending_labels": f"select id, {ts('ts')}, is_synthetic from labeled where (is_synthetic = 0 or not labeled) and ts <= {AS_OF} - interval 10 day",

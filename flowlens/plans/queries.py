@@ -576,6 +576,15 @@ def impute_encode(s, d):
     return x.select("id", F.col("features").cast("string").alias("features"))
 
 
+def impute_fills(s, d):
+    """The fitted medians and modes of the training rows."""
+    b = bars(s, d)
+    fills, _ = ft.impute_encode(ft.features(halves(s, d)[0], b, ad.vix(b)))
+    rows = [(c, None if fills[c] is None else float(fills[c]), "") for c in ft.NUMERIC] + [(c, None, fills[c]) for c in ft.CATEGORICAL]
+    x = s.createDataFrame(rows, "feature string, median double, mode string")
+    return x.select("feature", F.coalesce(r6("median"), F.lit(-1.0)).alias("median"), F.coalesce("mode", F.lit("")).alias("mode"))
+
+
 LABEL_COLS = ["label_success", "observed_return", "max_adverse_return"]
 
 
@@ -1032,6 +1041,7 @@ QUERIES = {
         contingency, ks_two_sample, chi2_two_sample, decile_compare, label_rate_delta, validation_gate, topk_unusual,
         sort_nulls_last, stream_whale_log, stream_scan_summary, label_merge, append_indexed, asof_tick, interval_join, boosted_histogram,
         score_boosted, walkforward_tree, stream_settle, stream_topk, garman_klass_fine, sma_flags_fine,
+        impute_fills,
     )
 } | {
     "elig_whale_quality": _eligible("whale_quality"),
