@@ -104,3 +104,22 @@ def test_next_event(spark):
     assert own == {1: (0, 1), 2: (50, 0), 3: (-2, 1), 4: (None, 0)}
     market = {r.id: r.days_to_m for r in joins.days_to_event(t, cal, "M", 1, "m", per_ticker=False).collect()}
     assert market == {1: 22, 2: 21, 3: -31, 4: 2}
+
+
+@pytest.fixture
+def eager_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_the_driver_holds_no_table_of_folds(spark, eager_broadcast):
+    counts = spark.range(400).selectExpr("cast(id % 2 as string) as cell", "cast(id % 40 as int) as avail", "id / 100 as y", "1L as c")
+    fitted = [wf.expanding_quantiles(counts, F.lit(40)), wf.expanding_sketches(counts, counts, F.lit(40))]
+    rows = spark.range(400).selectExpr("id", "id as idx", "cast(id div 40 as int) - 1 as fold", "id / 100 as observed_return", "cast(id % 2 as string) as k")
+    predicted = wf.walkforward_predict(rows, keys=["k"])
+    for df in [*fitted, predicted]:
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "BroadcastHashJoin" not in plan
