@@ -62,3 +62,30 @@ def test_no_row_is_repeated_by_the_length_of_an_interval(spark):
     p = spark.createDataFrame([(1, "A", at(1))], "pid long, ticker string, ts timestamp")
     assert iv.interval_join(p, h, ["ticker"], "ts", "a", "b").count() == 9
     assert iv.interval_join(p, h.where("false"), ["ticker"], "ts", "a", "b").count() == 0
+
+
+def test_totals_equal_those_of_all_pairs(spark):
+    rng = random.Random(4)
+    points = [(i, rng.choice("AB"), at(rng.randrange(2000)), rng.choice([None, 0.5, 2.0])) for i in range(600)] + [(900, None, at(5), 1.0), (901, "A", None, 1.0), (902, "C", at(7), float("inf")), (903, "C", at(9), 3.0)]
+    held = [(i, rng.choice("AB"), at(a), at(a + rng.choice([0, 1, 30, 900, 10**6]))) for i, a in ((i, rng.randrange(-100, 2100)) for i in range(300))]
+    held += [(900, "C", at(8), at(99)), (901, "C", at(0), at(99)), (902, None, at(0), at(99)), (903, "A", at(9), at(5)), (904, "A", None, at(9)), (905, "D", at(0), at(9)), (1, "A", at(0), at(50))]
+    p = spark.createDataFrame(points, "pid long, ticker string, ts timestamp, v double")
+    h = spark.createDataFrame(held, "iid long, ticker string, a timestamp, b timestamp")
+    totals = {"n": ("count", "*"), "known": ("count", "v"), "s": ("sum", "v"), "least": ("min", "pid"), "most": ("max", "pid")}
+    got = sorted(((r.iid, r.ticker, r.a, r.b, r.n, r.known, r.s, r.least, r.most) for r in iv.interval_join(p, h, ["ticker"], "ts", "a", "b", totals=totals).collect()), key=repr)
+    want = []
+    for i, k, a, b in held:
+        own = [(j, v) for j, k2, t, v in points if k is not None and k == k2 and t is not None and a is not None and a <= t <= b]
+        if own:
+            vs = [v for _, v in own if v is not None]
+            want.append((i, k, a, b, len(own), len(vs), sum(vs) if vs else None, min(j for j, _ in own), max(j for j, _ in own)))
+    assert got == sorted(want, key=repr)
+    assert iv.interval_join(p, h.where("false"), ["ticker"], "ts", "a", "b", totals=totals).count() == 0
+    assert iv.interval_join(p.where("false"), h, ["ticker"], "ts", "a", "b", totals=totals).count() == 0
+
+
+def test_totals_do_not_list_pairs(spark):
+    p = spark.range(20_000).select(F.lit("A").alias("ticker"), F.timestamp_seconds("id").alias("ts"), "id")
+    h = spark.range(20_000).select("id", F.lit("A").alias("ticker"), F.timestamp_seconds(F.lit(0)).alias("a"), F.timestamp_seconds(F.col("id") + 10**6).alias("b"))
+    x = iv.interval_join(p, h.withColumnRenamed("id", "iid"), ["ticker"], "ts", "a", "b", totals={"n": ("count", "*"), "last": ("max", "id")})
+    assert x.agg(F.count("*"), F.min("n"), F.max("n"), F.min("last")).first()[:] == (20_000, 20_000, 20_000, 19_999)  # 400 million pairs
