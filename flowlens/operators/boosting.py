@@ -26,6 +26,8 @@ from flowlens.schemas import QUANTILES
 BINS = 32
 #: Residual quantiles of leaves are exact to one part in so many rows of a leaf.
 ACCURACY = 10_000
+#: Trees up to so many nodes are read node by node, larger ones level by level.
+SMALL_TREE = 63
 
 
 @dataclass
@@ -37,6 +39,8 @@ class Tree:
     value: np.ndarray
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
+        if len(self.feature) <= SMALL_TREE:
+            return np.broadcast_to(self._under(0, bins), len(bins)).astype(np.int64)
         at = np.zeros(len(bins), np.int64)
         rows = np.arange(len(bins))
         while True:
@@ -47,6 +51,13 @@ class Tree:
             right = bins[rows, np.maximum(f, 0)] > self.cut[at]
             at = np.where(inner, 2 * at + 1 + right, at)
 
+    def _under(self, node: int, bins: np.ndarray) -> np.ndarray:
+        """The leaf of each row below ``node``: every node compares one column, in bytes."""
+        f = self.feature[node]
+        if f < 0:
+            return np.uint8(node)
+        return np.where(bins[:, f] > self.cut[node], self._under(2 * node + 2, bins), self._under(2 * node + 1, bins))
+
 
 def stump(size: int) -> Tree:
     """A tree whose root is its only node."""
@@ -118,7 +129,8 @@ def _rules(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    """Bins of a batch as bytes, column by column."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.uint8, order="F")
 
 
 def histogram_cells(rows: DataFrame, model: Boosted, growing: list[Tree], width: int) -> DataFrame:
@@ -132,14 +144,16 @@ def histogram_cells(rows: DataFrame, model: Boosted, growing: list[Tree], width:
                 continue
             bins, y = _matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
             at = model.predict(bins)
+            places = 2 * bins.astype(np.int64)
             for q, tree in enumerate(growing):
                 node = tree.leaves(bins) - first
                 live = node >= 0  # rows in leaves of earlier levels are done
-                under = (y < at[:, q])[live]
+                own = places if live.all() else places[live]
+                base = 2 * BINS * node[live] + (y < at[:, q])[live]
                 for f in range(nf):
-                    cell = node[live] * BINS + bins[live, f]
-                    total[q, :, f, :, 0] += np.bincount(cell, minlength=width * BINS).reshape(width, BINS)
-                    total[q, :, f, :, 1] += np.bincount(cell[under], minlength=width * BINS).reshape(width, BINS)
+                    n = np.bincount(base + own[:, f], minlength=2 * BINS * width).reshape(width, BINS, 2)
+                    total[q, :, f, :, 0] += n.sum(axis=2)
+                    total[q, :, f, :, 1] += n[:, :, 1]
         flat = total.ravel()
         used = np.flatnonzero(flat)
         yield pa.record_batch([pa.array(used, pa.int64()), pa.array(flat[used], pa.int64())], ["cell", "n"])
@@ -203,7 +217,9 @@ def start_boosted(
 ) -> tuple[Boosted, DataFrame]:
     """The model without a tree, and the binned training rows (bins, y), written once."""
     y = F.col(target).cast("double")
-    train = train.where(y.isNotNull() & ~F.isnan(y))
+    # written once: bin rules, start values and bins each read it
+    used = dict.fromkeys([*numeric, *categorical, target])
+    train = materialize(train.where(y.isNotNull() & ~F.isnan(y)).select(*used))
     edges, levels = _rules(train, numeric, categorical)
     start = exact_quantiles(train, [], target, list(probs)).first()
     known = start is not None and start.q is not None and None not in start.q

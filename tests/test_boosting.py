@@ -1,6 +1,7 @@
 """Boosted quantile trees: one split by brute force, the fit against cells, the walk-forward on leaves."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,18 @@ def test_odd_rows(spark):
     assert bo.score_boosted(odd, model).where("size(q) = 5 and q[0] <= q[4]").count() == 80
     empty = odd.where("false")
     assert bo.score_boosted(empty, bo.fit_boosted(empty, numeric=("a", "b"), categorical=("c",), rounds=1)).count() == 0
+
+
+def test_small_trees_read_node_by_node_equal_level_by_level(monkeypatch):
+    rng = np.random.default_rng(6)
+    for size in (1, 7, 15, 63):
+        feature = rng.integers(0, 4, size)
+        feature[size // 2 :] = -1
+        feature[rng.random(size) < 0.2] = -1
+        tree = bo.Tree(feature, rng.integers(0, 32, size), np.zeros(size))
+        bins = rng.integers(0, 32, (500, 4)).astype(np.uint8)
+        got = tree.leaves(bins)
+        with monkeypatch.context() as m:
+            m.setattr(bo, "SMALL_TREE", 0)
+            assert got.dtype == np.int64 and (got == tree.leaves(bins)).all()
+    assert bo._matrix(pa.array([[1, 31], [2, 0]], pa.list_(pa.int32()))).flags.f_contiguous
