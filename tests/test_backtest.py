@@ -167,3 +167,13 @@ def test_ks(spark):
     assert d(range(50), range(50)).d == 0 and d(range(50), range(100, 150)).d == 1
     assert d([1, 2, 3, 4], [2.5, 10, 11, 12]).d == pytest.approx(0.75)
     assert d([1, 2], []).d is None
+
+
+def test_sizes_are_computed_once(spark):
+    p = bt.params_frame(spark, [{**reg.WIDE, "strategy_type": "whale_quality"}, {**reg.WIDE, "strategy_type": "whale_quality", "min_kelly_fraction": 0.9}])
+    pairs = bt.params_cross(trade(spark), p)
+    sized = bt.size(pairs)
+    assert [r.p.run_id for r in sized.collect()] == [0]
+    assert sized.columns == [*pairs.columns, "stop", "kelly_fraction", "position_usd"]
+    plan = sized._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(".kelly_multiplier)") == 1
