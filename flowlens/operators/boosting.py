@@ -13,7 +13,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -88,14 +87,10 @@ class Boosted:
         return out
 
 
-def bin_column(edges: Sequence[float], name: str) -> Column:
-    """Number of edges under the value, plus one; 0 where it is unknown."""
-    v = F.col(name).cast("double")
-    # a sum of comparisons stays in compiled code
-    under = F.lit(0)
-    for e in edges:
-        under = under + (v > lit(e)).cast("int")
-    return F.when(v.isNull() | F.isnan(v), F.lit(0)).otherwise(under + 1).cast("int")
+def bins_of(edges: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Number of edges under each value, plus one; 0 where it is unknown."""
+    v = column.fill_null(np.nan).to_numpy(zero_copy_only=False)
+    return np.where(np.isnan(v), 0, np.searchsorted(edges, v) + 1)
 
 
 def level_column(levels: Sequence[str], name: str) -> Column:
@@ -106,9 +101,18 @@ def level_column(levels: Sequence[str], name: str) -> Column:
 
 
 def binned(df: DataFrame, model: Boosted) -> DataFrame:
-    """All columns and ``bins``."""
-    cols = [bin_column(e, c) for c, e in model.numeric.items()] + [level_column(v, c) for c, v in model.levels.items()]
-    return df.withColumn("bins", F.array(*cols))
+    """All columns and ``bins``. The edges are searched in numpy: as one expression of all comparisons they are too long to be compiled."""
+    edges = [np.array(e, float) for e in model.numeric.values()]
+
+    @F.arrow_udf("array<int>")
+    def placed(*columns: pa.Array) -> pa.Array:
+        out = np.empty((len(columns[0]), len(columns)), np.int32)
+        for f, column in enumerate(columns):
+            out[:, f] = bins_of(edges[f], column) if f < len(edges) else column.to_numpy(zero_copy_only=False)
+        return _lists(out)
+
+    numbers = [F.col(c).cast("double") for c in model.numeric]
+    return df.withColumn("bins", placed(*numbers, *[level_column(v, c) for c, v in model.levels.items()]))
 
 
 def _rules(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[dict[str, list[float]], dict[str, list[str]]]:
@@ -133,6 +137,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.uint8, order="F")
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
 def histogram_cells(rows: DataFrame, model: Boosted, growing: list[Tree], width: int) -> DataFrame:
     """(cell, n): counts by the position in [quantile, node of the level, feature, bin, (rows, rows under the prediction)]."""
     first, nq, nf = width - 1, len(model.probs), len(model.names)
@@ -256,11 +265,11 @@ def fit_boosted(
 def score_boosted(df: DataFrame, model: Boosted) -> DataFrame:
     """Add ``q``, the predicted quantiles in rising order."""
 
-    @F.pandas_udf("array<double>")
-    def predicted(bins: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def predicted(bins: pa.Array) -> pa.Array:
         if not len(bins):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.sort(model.predict(np.stack(bins.to_numpy())), axis=1)))
+            return pa.array([], pa.list_(pa.float64()))
+        return _lists(np.sort(model.predict(_matrix(bins)), axis=1))
 
     return binned(df, model).withColumn("q", predicted("bins")).drop("bins")
 
@@ -269,11 +278,11 @@ def with_leaf(df: DataFrame, model: Boosted, quantile: int = 2, name: str = "lea
     """Add the leaf of the first tree of a quantile as a text, a cell that the cell models take as a key."""
     tree = model.rounds[0][quantile]
 
-    @F.pandas_udf("string")
-    def leaf(bins: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def leaf(bins: pa.Array) -> pa.Array:
         if not len(bins):
-            return pd.Series([], dtype=str)
-        return pd.Series(tree.leaves(np.stack(bins.to_numpy()))).astype(str)
+            return pa.array([], pa.string())
+        return pa.array(tree.leaves(_matrix(bins)).astype(str))
 
     return binned(df, model).withColumn(name, leaf("bins")).drop("bins")
 

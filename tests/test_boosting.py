@@ -98,3 +98,16 @@ def test_small_trees_read_node_by_node_equal_level_by_level(monkeypatch):
             m.setattr(bo, "SMALL_TREE", 0)
             assert got.dtype == np.int64 and (got == tree.leaves(bins)).all()
     assert bo._matrix(pa.array([[1, 31], [2, 0]], pa.list_(pa.int32()))).flags.f_contiguous
+
+
+def test_bins_count_the_edges_under_a_value_in_a_short_plan(spark):
+    """Binning goes by the rows alone: its expression does not grow with the edges."""
+    edges = [round(-1 + i / 14, 9) for i in range(30)]
+    model = bo.Boosted({"a": edges, "b": []}, {"c": ["x", "y"]}, QUANTILES, np.zeros(5), 0.3)
+    values = [None, float("nan"), float("inf"), -float("inf"), -0.0, 0.0, 0.5, *edges]
+    df = spark.createDataFrame([(v, v, c) for v in values for c in ("x", "y", "z", None)], "a double, b double, c string")
+    got = bo.binned(df, model)
+    for r in got.collect():
+        known = r.a is not None and r.a == r.a
+        assert r.bins == [1 + sum(r.a > e for e in edges) if known else 0, int(known), {"x": 1, "y": 2, "z": bo.BINS - 1, None: 0}[r.c]]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count(" > ") < len(edges)
