@@ -11,10 +11,10 @@ others are dealt to classes by rank. Windows of ``WINDOW`` inputs overlap by ``W
 each id is scored once, with at least that overlap as context, many windows at a time under one
 causal mask. Texts are tokenised once, into a table. Ids, and ids after the class of the id before, are
 counted there over all whole learning texts (sums of at most vocabulary x 65 counts). The weights
-are trained in numpy where the texts are: one in ``SHARE`` of all windows, chosen by hash from whole
-texts at any size of the corpus, in ``ROUNDS`` rounds. In a round every task takes steps on its own
-windows from the same weights, and the weights are averaged, each task's by its number of windows.
-The driver sees the averages alone, and a round takes as long as a task, however many there are.
+are trained in numpy where the texts are, on every window of all whole learning texts, each in one of
+``ROUNDS`` rounds. In a round every task takes steps on its own windows from the same weights, and the
+weights are averaged, each task's by its number of windows. The driver sees the averages alone, and a
+round takes as long as a task, however many there are.
 
 Defined results: null text is empty: one end token; repeated rows and null ids are scored each for
 itself; without learning texts counts are 0 and the model is uniform. Extra columns are not read.
@@ -35,9 +35,10 @@ from flowlens.llm.tokens import encoded, tokenizer_path
 from flowlens.session import scratch_path
 
 HEAD_WORDS = 1 << 17
+#: Parts that the windows of a round are dealt to by hash; a round goes through all of them, so that a step mixes texts.
 SHARE = 128
 ROUNDS = 2
-STEP_WINDOWS = 64
+STEP_WINDOWS = 128
 #: Weights that travel in one row.
 WEIGHTS = 8192
 HELD_IDS = 1_000_000
@@ -50,6 +51,8 @@ OWN_CLASSES, SHARED_CLASSES = 48, 16
 BATCH = 256
 EPOCHS = 3
 CENTRE = 4.0
+#: Bound of scores and logits, so that their exponentials stay finite.
+TOP = 60.0
 END_WORD = b" "
 
 
@@ -79,11 +82,13 @@ class Attention:
     whole: np.ndarray  # ids without counts: id -> log10 of its share of the class
     rest: np.ndarray  # (class before, class) -> log10 of what these ids share
     p: dict[str, np.ndarray]
-    tables: tuple[np.ndarray, np.ndarray] | None = None  # id -> (input, query, key, value), window place -> the same
 
     def within(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         column = self.column[ids]
-        return np.where(column >= 0, self.seen[before, column], self.whole[ids] + self.rest[before, self.cls[ids]])
+        out = self.seen[before, column].astype(float)
+        new = np.flatnonzero(column < 0)
+        out[new] = self.whole[ids[new]] + self.rest[before[new], self.cls[ids[new]]]
+        return out
 
     @property
     def before(self) -> np.ndarray:
@@ -96,39 +101,47 @@ class Attention:
 
     def log10(self, y: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
-        if self.tables is None:
-            e, pos = self.p["e"], self.p["pos"]
-            mix = np.concatenate([np.eye(DIM, dtype=np.float32), self.p["q"], self.p["k"], self.p["v"]], axis=1)
-            # a last value of one, so that one product gives the weighted values and the sum of the weights
-            one = lambda table, value: np.append(table @ mix, np.full((len(table), 1), value, np.float32), axis=1)
-            self.tables = one(e, 1), one(pos, 0)
-        ones = np.ones(OWN_CLASSES + SHARED_CLASSES, np.float32)
-        u, target, text = self.inputs(y, at)
+        text, nth = places(at)
         out = np.zeros(len(at) - 1)
-        for a in range(0, len(u), BATCH):
-            x = self.tables[0][u[a : a + BATCH]] + self.tables[1]
-            late = x[:, WINDOW - STEP :]
-            s = late[:, :, DIM : 2 * DIM] @ x[:, :, 2 * DIM : 3 * DIM].transpose(0, 2, 1)
-            s += MASK
-            np.exp(s, out=s)
-            o = s @ x[:, :, 3 * DIM :]
-            o = o[:, :, :DIM] / o[:, :, DIM:]
-            o += late[:, :, :DIM]
-            hidden = o.reshape(-1, DIM) @ self.p["w1"] + self.p["b1"]
-            np.maximum(hidden, 0, out=hidden)
-            z = hidden @ self.p["w2"] + self.p["b2"]
-            t = target[a : a + BATCH].ravel()
+        for a in range(0, len(text), BATCH):
+            u, target = windows(y, at, text[a : a + BATCH], nth[a : a + BATCH])
+            z = forward(self.p, u)[-1]
+            t = target.ravel()
             own = np.flatnonzero(t >= 0)
-            picked = z[own, self.cls[t[own]]]
+            t = t[own]
+            picked = z[own, self.cls[t]]
             np.exp(z, out=z)
-            before = self.before[u[a : a + BATCH, WINDOW - STEP :].ravel()[own]]
-            score = (picked - np.log((z @ ones)[own])) / np.log(10) + self.within(before, t[own])
+            before = self.before[u[:, WINDOW - STEP :].ravel()[own]]
+            score = (picked - np.log((z @ ONES)[own])) / np.log(10) + self.within(before, t)
             out += np.bincount(text[a : a + BATCH][own // STEP], score, len(out))
         return out
 
 
+ONES = np.ones(OWN_CLASSES + SHARED_CLASSES, np.float32)
 #: Inputs of a window that each scored place may see, as an addend.
-MASK = np.where(np.arange(WINDOW) <= np.arange(WINDOW - STEP, WINDOW)[:, None], 0, -60).astype(np.float32)
+MASK = np.where(np.arange(WINDOW) <= np.arange(WINDOW - STEP, WINDOW)[:, None], 0, -np.inf).astype(np.float32)
+
+
+def forward(p: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(inputs, their queries, keys and values, weights, sums of the weights, weighted values, places, hidden, logits) of windows."""
+    x = np.take(p["e"], ids, axis=0)
+    x += p["pos"]
+    qkv = (x.reshape(-1, DIM) @ np.concatenate([p["q"], p["k"], p["v"]], axis=1)).reshape(*ids.shape, 3 * DIM)
+    w = qkv[:, WINDOW - STEP :, :DIM] @ qkv[:, :, DIM : 2 * DIM].transpose(0, 2, 1)
+    np.clip(w, -TOP, TOP, out=w)
+    w += MASK
+    np.exp(w, out=w)
+    total = w @ np.ones((WINDOW, 1), np.float32)
+    o = w @ qkv[:, :, 2 * DIM :]
+    o /= total
+    r = (o + x[:, WINDOW - STEP :]).reshape(-1, DIM)
+    h = r @ p["w1"]
+    h += p["b1"]
+    np.maximum(h, 0, out=h)
+    z = h @ p["w2"]
+    z += p["b2"]
+    np.clip(z, -TOP, TOP, out=z)
+    return x, qkv, w, total, o, r, h, z
 
 
 def untrained() -> Attention:
@@ -199,39 +212,41 @@ def trained(model: Attention, batches: Iterable[tuple[np.ndarray, np.ndarray]])
         p[name][rows] -= (0.01 * (m / (1 - 0.9**n)) / (np.sqrt(vv / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
 
     for ids, t in batches:
-        x = p["e"][ids] + p["pos"]
-        late = x[:, WINDOW - STEP :]
-        q, k, v = late @ p["q"], x @ p["k"], x @ p["v"]
-        s = q @ k.transpose(0, 2, 1) + MASK
-        w = np.exp(s - s.max(axis=2, keepdims=True))
-        w /= w.sum(axis=2, keepdims=True)
-        r = late + w @ v
-        h0 = r @ p["w1"] + p["b1"]
-        h = np.maximum(h0, 0)
-        z = h @ p["w2"] + p["b2"]
-        g = np.exp(z - z.max(axis=2, keepdims=True))
-        g /= g.sum(axis=2, keepdims=True)
-        known = t >= 0
-        b, c = np.nonzero(known)
-        g[b, c, model.cls[t[b, c]]] -= 1
-        g *= known[:, :, None] / max(1, len(b))
-        dh = (g @ p["w2"].T) * (h0 > 0)
-        dr = dh @ p["w1"].T
-        dw = dr @ v.transpose(0, 2, 1)
-        ds = w * (dw - (dw * w).sum(axis=2, keepdims=True))
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, w.transpose(0, 2, 1) @ dr
-        dx = dk @ p["k"].T + dv @ p["v"].T
-        dx[:, WINDOW - STEP :] += dr + dq @ p["q"].T
+        x, qkv, w, total, o, r, h, g = forward(p, ids)
+        t = t.ravel()
+        known = np.flatnonzero(t >= 0)
+        share = np.float32(1 / max(1, len(known)))
+        np.exp(g, out=g)
+        scale = np.zeros(len(t), np.float32)
+        scale[known] = share / (g @ ONES)[known]
+        g *= scale[:, None]
+        g[known, model.cls[t[known]]] -= share
+        dh = g @ p["w2"].T
+        dh *= h > 0
+        dr = (dh @ p["w1"].T).reshape(o.shape)
+        # the weights are not divided by their sums, so the gradients that meet them are
+        do = dr / total
+        ds = do @ qkv[:, :, 2 * DIM :].transpose(0, 2, 1)
+        ds -= np.einsum("bij,bij->bi", do, o)[:, :, None]
+        ds *= w
+        d = np.zeros_like(qkv)
+        d[:, WINDOW - STEP :, :DIM] = ds @ qkv[:, :, DIM : 2 * DIM]
+        d[:, :, DIM : 2 * DIM] = ds.transpose(0, 2, 1) @ qkv[:, WINDOW - STEP :, :DIM]
+        d[:, :, 2 * DIM :] = w.transpose(0, 2, 1) @ do
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        grad = {"pos": dx.sum(axis=0), "q": flat(late).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "w1": flat(r).T @ flat(dh), "b1": flat(dh).sum(axis=0), "w2": flat(h).T @ flat(g), "b2": flat(g).sum(axis=0)}
+        mix = np.concatenate([p["q"], p["k"], p["v"]], axis=1)
+        dx = (flat(d) @ mix.T).reshape(x.shape)
+        dx[:, WINDOW - STEP :] += dr
+        dq, dk, dv = np.split(flat(x).T @ flat(d), 3, axis=1)
+        grad = {"pos": dx.sum(axis=0), "q": dq, "k": dk, "v": dv, "w1": r.T @ dh, "b1": dh.sum(axis=0), "w2": h.T @ g, "b2": g.sum(axis=0)}
         n += 1
         for name, d in grad.items():
             step(name, slice(None), d, n)
         # of the table only the rows of the step's ids move
-        own, place = np.unique(ids, return_inverse=True)
-        order = np.argsort(place.ravel(), kind="stable")
-        first = np.searchsorted(place.ravel()[order], np.arange(len(own)))
-        step("e", own, np.add.reduceat(flat(dx)[order], first, axis=0), n)
+        order = np.argsort(ids.ravel().astype(np.uint16), kind="stable")
+        own = ids.ravel()[order]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        step("e", own[first], np.add.reduceat(np.take(flat(dx), order, axis=0), first, axis=0), n)
     return model
 
 
@@ -349,12 +364,39 @@ def _unflat(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def drawn(row: np.ndarray, y: np.ndarray, at: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """(inputs, targets) of the windows of a round: one in SHARE x ROUNDS, by a hash of row number and place."""
+def dealt(row: np.ndarray, at: np.ndarray, first: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, number in the text) of the windows of some of all SHARE x ROUNDS parts, in order of their parts.
+
+    Every window has one part, by a hash of row number and place.
+    """
     text, nth = places(at)
-    h = mixed(mixed(row.astype(np.uint64), 1)[text] ^ nth.astype(np.uint64), 2) % np.uint64(SHARE * ROUNDS)
-    own = h == turn
-    return windows(y, at, text[own], nth[own])
+    part = mixed(mixed(row.astype(np.uint64), 1)[text] ^ nth.astype(np.uint64), 2) % np.uint64(SHARE * ROUNDS)
+    own = np.flatnonzero((part >= first) & (part < first + parts))
+    own = own[np.argsort(part[own].astype(np.uint16), kind="stable")]
+    return text[own], nth[own]
+
+
+def drawn(row: np.ndarray, y: np.ndarray, at: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, targets) of the windows of one part."""
+    return windows(y, at, *dealt(row, at, turn, 1))
+
+
+def steps_of(batches: Iterable[pa.RecordBatch], turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(inputs, targets) of step after step of a round over batches of (ids, row): all rounds have every window once."""
+    u, t = np.empty((0, WINDOW), np.int64), np.empty((0, STEP), np.int64)
+    for batch in batches:
+        for i, j, y, at in _sequences_of(batch):
+            text, nth = dealt(batch.column(1).slice(i, j - i).to_numpy(), at, turn * SHARE, SHARE)
+            a = 0
+            while a < len(text):
+                b = a + STEP_WINDOWS - len(u)
+                more = windows(y, at, text[a:b], nth[a:b])
+                u, t, a = np.concatenate([u, more[0]]), np.concatenate([t, more[1]]), b
+                if len(u) == STEP_WINDOWS:
+                    yield u, t
+                    u, t = u[:0], t[:0]
+    if len(u):
+        yield u, t
 
 
 def averaged(coded: DataFrame, model: Attention) -> Attention:
@@ -369,17 +411,7 @@ def averaged(coded: DataFrame, model: Attention) -> Attention:
 
             def steps() -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 nonlocal n
-                held: list[tuple[np.ndarray, np.ndarray]] = []
-                for batch in batches:
-                    for i, j, y, at in _sequences_of(batch):
-                        held.append(drawn(batch.column(1).slice(i, j - i).to_numpy(), y, at, turn))
-                        while sum(len(u) for u, _ in held) >= STEP_WINDOWS:
-                            u, t = (np.concatenate(x) for x in zip(*held))
-                            held = [(u[STEP_WINDOWS:], t[STEP_WINDOWS:])]
-                            n += STEP_WINDOWS
-                            yield u[:STEP_WINDOWS], t[:STEP_WINDOWS]
-                if sum(len(u) for u, _ in held):
-                    u, t = (np.concatenate(x) for x in zip(*held))
+                for u, t in steps_of(batches, turn):
                     n += len(u)
                     yield u, t
 
@@ -405,7 +437,7 @@ def averaged(coded: DataFrame, model: Attention) -> Attention:
 
 
 def fitted(coded: DataFrame, seed: int = 3) -> Attention:
-    """A model of all rows of a coded table: counts of every id, weights from windows drawn out of whole texts."""
+    """A model of all rows of a coded table: counts of every id, weights from every window."""
     counts = _summed(coded, lambda y, at: y, VOCABULARY)
     if not counts.any():
         return untrained()
