@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm.common import LOWER, SPACED, chunks, mixed, split_words, text_bytes
-from flowlens.llm.tokens import encoded, tokenizer_path
+from flowlens.llm.tokens import encoded, encoded_texts, tokenizer_path
 from flowlens.session import scratch_path
 
 HEAD_WORDS = 1 << 17
@@ -42,6 +42,8 @@ STEP_WINDOWS = 128
 #: Weights that travel in one row.
 WEIGHTS = 8192
 HELD_IDS = 1_000_000
+#: Bytes of texts whose distinct pieces are encoded together.
+CODED_BYTES = 4_000_000
 VOCABULARY = 50_257
 END = 50_256
 BEGIN = 50_257
@@ -299,10 +301,13 @@ def _coded(docs: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0)
-            _, offsets = text_bytes(texts)
-            for i, j in chunks(offsets):
-                ids = pa.array([_ids(texts[k].as_py(), file).astype("<u2").tobytes() for k in range(i, j)], pa.binary())
+            raw, offsets = text_bytes(batch.column(0))
+            for i, j in chunks(offsets, CODED_BYTES):
+                at = offsets[i : j + 1]
+                y, to = encoded_texts(LOWER[raw[at[0] : at[-1]]], at - at[0], file)
+                y = np.insert(y, to[1:], END).astype("<u2")
+                cuts = 2 * (to + np.arange(j - i + 1))
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(y)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), ids], [*batch.schema.names, "__ids"])
             pa.default_memory_pool().release_unused()
 
