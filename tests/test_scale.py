@@ -46,6 +46,45 @@ def test_expanding_quantiles_equal_numpy(spark):
         assert r.n == len(ys) and np.allclose(r.q, np.quantile(ys, probs), atol=1e-12)
 
 
+def expanding_counts(spark, folds):
+    """Three cells, of which one has no rows in most folds, and few values."""
+    rows = [(c, a, (7 * a + 3 * i) % 40 / 50 - 0.3) for c in ("x", "y") for a in range(folds) for i in range(9)]
+    rows += [("z", a, a / 400) for a in range(5, folds + 40, 45)]
+    df = spark.createDataFrame(rows, "cell string, avail int, y double")
+    return rows, df.groupBy("cell", "avail", "y").agg(F.count(F.lit(1)).alias("c")).localCheckpoint()
+
+
+def test_expanding_quantiles_over_many_spans_equal_numpy(spark, monkeypatch):
+    monkeypatch.setattr(wf, "SPAN", 150, raising=False)
+    rows, counts = expanding_counts(spark, 100)
+    probs = (0.1, 0.5, 0.9)
+    got = {(r.cell, r.fold): r for r in wf.expanding_quantiles(counts, F.lit(100), probs).collect()}
+    assert set(got) == {(c, f) for c, first in (("x", 0), ("y", 0), ("z", 5)) for f in range(first, 100)}
+    for (cell, fold), r in got.items():
+        ys = [y for c, a, y in rows if c == cell and a <= fold]
+        assert r.n == len(ys) and np.allclose(r.q, np.quantile(ys, probs), atol=1e-12)
+
+
+def shuffled(plan):
+    """Rows written by all exchanges of a plan that has run."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return shuffled(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return shuffled(plan.plan())
+    found = plan.metrics().get("shuffleRecordsWritten")
+    return (found.get().value() if found.isDefined() else 0) + sum(shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_expanding_quantiles_move_rows_not_folds_times_values(spark, monkeypatch):
+    monkeypatch.setattr(wf, "SPAN", 600, raising=False)
+    monkeypatch.setattr(wf, "materialize", lambda df: df)
+    rows, counts = expanding_counts(spark, 300)
+    found = wf.expanding_quantiles(counts, F.lit(300))
+    assert found.count() == 300 + 300 + 295
+    found.collect()
+    assert len(rows) < shuffled(found._jdf.queryExecution().executedPlan()) < 10 * len(rows)
+
+
 def keep_rule(times, gap):
     kept, last = [], None
     for t in sorted(times):
